@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import formatdup, lookalike, survivor
+from . import formatdup, lookalike, survivor, tokenize
 from .common import table
 
 
@@ -34,5 +34,9 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return formatdup.representatives(table(spark, d, "entries"), table(spark, d, "resolved_papers"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p3_survivors, p5_found, p5_records)}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.encode(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p3_survivors, p5_found, p5_records, p6_ids)}
 SQL: dict[str, str] = {}
