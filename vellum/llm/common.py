@@ -29,3 +29,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def blank(c: Column) -> Column:
     """True for NULL, empty and all-space strings."""
     return c.isNull() | (F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " ")) == "")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly per-row work a task for each core, where the scan has fewer tasks (small files)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
