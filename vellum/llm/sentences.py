@@ -36,12 +36,12 @@ MONTHS = frozenset("januar jänner februar märz april mai juni juli august sept
 CJK = r"\p{Han}\p{Hiragana}\p{Katakana}"
 #: A mark that can end a sentence with what closes around it, then what follows: spaces, or none in scripts without them.
 _END = regex.compile(
-    rf"""(?P<mark>[.!?]+|[。！？｡．؟۔।॥]+[.!?。！？]*|…+|[!?]+)(?P<close>(?:[\"'”’»)\]」』】〉》）〕“]|[   ]»)*)(?:(?P<gap>\s+)|(?=(?P<tight>.))|$)""",
+    rf"""(?P<mark>[.!?]+|[。！？｡．؟۔।॥]+[.!?。！？]*|…+|[!?]+)(?P<close>(?:[\"'”’»)\]」』】〉》）〕]|“(?=[\s,.;:!?)–-]|$)|[\x20\xa0\u202f]»)*)(?:(?P<gap>\s+)|(?=(?P<tight>.))|$)""",
     regex.X | regex.S,
 )
 _BLANK = regex.compile(r"\r?\n[^\S\n]*\r?\n\s*|[ \u0085\f]\s*")
 _THAI_GAP = regex.compile(r"(?<=\p{Thai}\S{0,40})\s+(?=\S)|\s+(?=\p{Thai})")
-_WORD = regex.compile(rf"[^\s\"'“”«»(\[„‘’「」『』（）。！？、，{CJK}]*$")
+_WORD = regex.compile(rf"[^\s\"'“”«»(\[„‘’「」『』（）。！？!?、，{CJK}]*$")
 _LAST_PART = regex.compile(r"(?<=\p{L}{3}[.!?])(?=\p{Lu})")
 _PAIRS = {"(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "【": "】", "«": "»", "《": "》", "„": "“", "“": "”"}
 _QUOTES = regex.compile("[" + regex.escape("".join({*_PAIRS, *_PAIRS.values()}) + '"') + "]")
