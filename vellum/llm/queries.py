@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import formatdup, lookalike, sentences, survivor, tokenize
+from . import formatdup, leakage, lookalike, sentences, survivor, tokenize
 from .common import table
 
 
@@ -38,9 +38,13 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p3_survivors, p5_found, p5_records, p6_ids, p8_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p3_survivors, p5_found, p5_records, p6_ids, p7_found, p8_found)}
 SQL: dict[str, str] = {}

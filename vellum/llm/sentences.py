@@ -171,6 +171,8 @@ def piece_ends(text: str) -> list[int]:
             end = m.end("close")
             if m["close"] and end in opened and _commented(text, opened[end], text[m.end() : m.end() + 1]):
                 s -= 12.0
+            if s <= -5.0:
+                continue
             cands[end] = (s, m.end())
             if s >= 5.0 and not m["close"] and text[max(0, m.start() - 2) : m.start()].isalpha():
                 sure.add(end)
@@ -191,8 +193,6 @@ def piece_ends(text: str) -> list[int]:
     starts = [0, *(cands[e][1] for e in ends), n]
     best, back = [0.0] + [float("-inf")] * (len(at) - 1), [0] * len(at)
     for j in range(1, len(at)):
-        if j < len(at) - 1 and score[j] <= -5.0:
-            continue
         for i in range(j - 1, max(-1, j - 1 - SPAN), -1):
             if best[i] == float("-inf"):
                 continue
