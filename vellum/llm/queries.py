@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import formatdup, leakage, lookalike, sentences, survivor, tokenize
+from . import formatdup, leakage, lookalike, names, sentences, survivor, tokenize
 from .common import table
 
 
@@ -26,6 +26,10 @@ def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "enriched"), table(spark, d, "providers"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(names.link(names.author_names(table(spark, d, "entries"), table(spark, d, "enriched"))))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return formatdup.members(table(spark, d, "entries"), table(spark, d, "resolved_papers"))
 
@@ -46,5 +50,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p3_survivors, p5_found, p5_records, p6_ids, p7_found, p8_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p3_survivors, p4_found, p5_found, p5_records, p6_ids, p7_found, p8_found)}
 SQL: dict[str, str] = {}
