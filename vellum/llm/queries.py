@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import formatdup, leakage, lookalike, names, sentences, survivor, tokenize
+from . import formatdup, leakage, linkage, lookalike, names, sentences, survivor, tokenize
 from .common import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_matches(spark, d).select("ord", "work_id")
+
+
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.match_publications(table(spark, d, "entries"), table(spark, d, "works"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_pairs(lookalike.titles(table(spark, d, "entries"), table(spark, d, "resolved_papers")))
 
@@ -50,5 +58,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p3_survivors, p4_found, p5_found, p5_records, p6_ids, p7_found, p8_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_canonical, p3_found, p3_survivors, p4_found, p5_found, p5_records, p6_ids, p7_found, p8_found)}
 SQL: dict[str, str] = {}
