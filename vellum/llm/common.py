@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame as a compressed table to the shared checkpoint folder and read it from there: lineage is cut, columns
+    can be pruned, and the copy outlives executors. It is removed when the session's process ends."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    weakref.finalize(df.sparkSession, _remove, df.sparkSession.sparkContext._jvm, path)
+    return out
+
+
+def _remove(jvm, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone by then
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+
+
 def blank(c: Column) -> Column:
     """True for NULL, empty and all-space strings."""
     return c.isNull() | (F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " ")) == "")
