@@ -29,14 +29,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, *done: DataFrame) -> DataFrame:
     """Write a frame as a compressed table to the shared checkpoint folder and read it from there: lineage is cut, columns
-    can be pruned, and the copy outlives executors. It is removed when the session's process ends."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    can be pruned, and the copy outlives executors. Tables given as done are removed, as are the shuffle files of
+    finished steps; what is left is removed when the session's process ends."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    jvm = spark.sparkContext._jvm
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    weakref.finalize(df.sparkSession, _remove, df.sparkSession.sparkContext._jvm, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    weakref.finalize(spark, _remove, jvm, path)
+    for table in done:
+        _remove(jvm, table._stored_at)
+    jvm.System.gc()
     return out
 
 
