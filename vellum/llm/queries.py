@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import formatdup, leakage, linkage, lookalike, names, sentences, survivor, tokenize
 from .common import table
+from .sql import SQL as SQL
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,4 +60,3 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_canonical, p3_found, p3_survivors, p4_found, p5_found, p5_records, p6_ids, p7_found, p8_found)}
-SQL: dict[str, str] = {}
