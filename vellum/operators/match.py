@@ -43,8 +43,11 @@ def best_match(queries: DataFrame, candidates: DataFrame, gate: float = 0.7, inc
     pairs = _prefixes(q, "qid", "_qw", frequency, share).join(_prefixes(c, "cid", "_cw", frequency, share), "_w").select("qid", "cid").distinct()
     joined = pairs.join(q.select("qid", "_t", "_qw", F.col("authors").alias("_qa")), "qid").join(c.select("cid", "pos", "_u", "_cw", F.col("authors").alias("_ca"), F.col("score").alias("_s")), "cid")
     extra = F.least(F.coalesce("_s", F.lit(0.0)) / 100, F.lit(0.1)) if boost else F.lit(0.0)
-    score = 0.7 * set_similarity(F.col("_t"), F.col("_u"), F.col("_qw"), F.col("_cw")) + 0.3 * author_similarity(F.col("_qa"), F.col("_ca")) + extra
-    scored = joined.select("qid", "cid", "pos", F.round(score, 9).alias("score"))
+    # titles decide first; authors are compared only where they can still lift a pair over the gate
+    titled = joined.select("qid", "cid", "pos", "_qa", "_ca", extra.alias("_x"), set_similarity(F.col("_t"), F.col("_u"), F.col("_qw"), F.col("_cw")).alias("_ts"))
+    near = titled.where(0.7 * F.col("_ts") + 0.3 + F.col("_x") + 1e-9 > gate)
+    score = 0.7 * F.col("_ts") + 0.3 * author_similarity(F.col("_qa"), F.col("_ca")) + F.col("_x")
+    scored = near.select("qid", "cid", "pos", F.round(score, 9).alias("score"))
     scored = scored.where(F.col("score") >= gate if inclusive else F.col("score") > gate)
     top = scored.groupBy("qid").agg(F.max(F.struct("score", (-F.col("pos")).alias("p"), "cid")).alias("m"))
     return top.select("qid", F.col("m.cid").alias("cid"), F.col("m.score").alias("score"))

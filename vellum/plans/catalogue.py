@@ -446,16 +446,16 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_RUNS} SELECT repo, workflow, round(date_diff('second', max(began) FILTER (event = 'schedule' AND conclusion = 'success'), {NOW}) / 86400.0, 6) AS age FROM r GROUP BY 1, 2")
+@query(f"WITH {_RUNS} SELECT repo, workflow, date_sub('second', max(began) FILTER (event = 'schedule' AND conclusion = 'success'), {NOW}) AS age_seconds FROM r GROUP BY 1, 2")
 def newest_success_age(spark: SparkSession, d: str) -> DataFrame:
     r = _runs(spark, d)
     ages = freshness.newest_age(r, ["repo", "workflow"], F.col("created_at"), freshness.scheduled_success(r), _now())
-    return ages.withColumn("age", F.round("age", 6))
+    return ages.select("repo", "workflow", F.round(F.col("age") * 86400).cast("bigint").alias("age_seconds"))
 
 
 @query(
     f"""WITH {_RUNS}, own AS (SELECT * FROM r WHERE event IN ('schedule', 'repository_dispatch')), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, workflow ORDER BY began DESC, event_id DESC) AS rn FROM own) WHERE rn = 1), c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, workflow ORDER BY began DESC, event_id DESC) AS rn FROM own WHERE status = 'completed') WHERE rn = 1)
-    SELECT repo, workflow, 'hung' AS finding FROM n WHERE status <> 'completed' AND date_diff('second', began, {NOW}) / 3600.0 > 3 UNION ALL SELECT repo, workflow, 'failed' FROM c WHERE conclusion IN ('failure', 'timed_out', 'startup_failure') OR (conclusion = 'cancelled' AND date_diff('second', began, upd) / 3600.0 > 3)"""
+    SELECT repo, workflow, 'hung' AS finding FROM n WHERE status <> 'completed' AND date_sub('second', began, {NOW}) / 3600.0 > 3 UNION ALL SELECT repo, workflow, 'failed' FROM c WHERE conclusion IN ('failure', 'timed_out', 'startup_failure') OR (conclusion = 'cancelled' AND date_sub('second', began, upd) / 3600.0 > 3)"""
 )
 def run_findings(spark: SparkSession, d: str) -> DataFrame:
     return freshness.run_findings(_runs(spark, d), _now())

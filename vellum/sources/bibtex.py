@@ -26,7 +26,7 @@ ALIASES = {
 def read_text(spark: SparkSession, *paths: str, encoding: str = "UTF-8") -> DataFrame:
     """path, value: whole files as text; bytes that are not UTF-8 are read as Latin-1."""
     raw = spark.read.format("binaryFile").load(list(paths))
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
     return raw.select("path", text.alias("value"))
 
 
