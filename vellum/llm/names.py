@@ -231,7 +231,11 @@ def read_forms(names: DataFrame) -> DataFrame:
 
 def one_error(a: Column, b: Column) -> Column:
     """Whether two tokens differ by one typing error: a letter more, less or other, or two neighbours swapped."""
-    swap = (F.length(a) == F.length(b)) & (F.levenshtein(a, b, 2) == 2) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
+    def swapped(i: Column) -> Column:
+        at = lambda k, n: F.substr(a, k, n)
+        return F.concat(at(F.lit(1), i - 1), at(i + 1, F.lit(1)), at(i, F.lit(1)), F.substr(a, i + 2)) == b
+
+    swap = (F.length(a) == F.length(b)) & (F.length(a) > 1) & (F.levenshtein(a, b, 2) == 2) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), swapped)
     return (F.levenshtein(a, b, 1) == 1) | swap
 
 
