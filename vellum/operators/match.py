@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,27 +20,57 @@ def accepted(provider: str, score: Column) -> Column:
     return ((score >= least) if inclusive else (score > least)) & (score > accept)
 
 
-def _prefixes(df: DataFrame, key: str, words: str, frequency: DataFrame, share: float) -> DataFrame:
-    """Rarest words of each row, as many as one must share with any row of at least the given Jaccard similarity."""
+def _ranked(df: DataFrame, key: str, words: str, frequency: DataFrame) -> DataFrame:
+    """Words of each row from the rarest on."""
     each = df.select(key, F.size(words).alias("_n"), F.explode(words).alias("_w")).join(frequency, "_w")
-    ranked = each.groupBy(key, "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_w"))).alias("_r"))
-    take = F.col("_n") - F.ceil(F.lit(share) * F.col("_n")) + 1
-    return ranked.select(key, F.explode(F.slice("_r", 1, F.greatest(take.cast("int"), F.lit(1)))).alias("_x")).select(key, F.col("_x._w").alias("_w"))
+    return each.groupBy(key, "_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_df", "_w"))), lambda x: x["_w"]).alias("_r"))
+
+
+def _rarest(ranked: DataFrame, key: str, must: Column, side: str) -> DataFrame:
+    """Rarest words of a row, with one more than any row that shares ``must`` of its words must have one of."""
+    few = must < 2
+    take = F.least(F.greatest(F.col("_n") - must + F.when(few, 1).otherwise(2), F.lit(1)), F.col("_n")).cast("int")
+    return ranked.select(key, F.col("_n").alias(f"_{side}n"), few.alias("_few"), F.slice("_r", 1, take).alias("_p"))
+
+
+def _singles(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_s", F.explode(F.transform("_p", lambda w: F.xxhash64(w)))).drop("_p", "_few")
+
+
+def _twos(rows: DataFrame) -> DataFrame:
+    pairs = F.flatten(F.transform("_p", lambda w, i: F.transform(F.slice("_p", i + 2, F.greatest(F.size("_p"), F.lit(1))), lambda v: F.xxhash64(F.least(w, v), F.greatest(w, v)))))
+    return rows.where("NOT _few").withColumn("_s", F.explode(F.array_distinct(pairs))).drop("_p", "_few")
+
+
+def _meet(q: DataFrame, c: DataFrame, share: float) -> DataFrame:
+    """qid, cid of rows that may share enough words.
+
+    Two rows that must share two words or more have two of their rarest in common, so they meet on pairs of words; only
+    rows for which one word may do meet others on single words.
+    """
+    sizes = (F.col("_qn") >= F.floor(F.lit(share) * F.col("_cn"))) & (F.col("_cn") >= F.floor(F.lit(share) * F.col("_qn")))
+    joins = [(_twos(q), _twos(c)), (_singles(q.where("_few")), _singles(c)), (_singles(q.where("NOT _few")), _singles(c.where("_few")))]
+    return reduce(DataFrame.unionByName, [a.join(b, "_s").where(sizes).select("qid", "cid") for a, b in joins])
 
 
 def best_match(queries: DataFrame, candidates: DataFrame, gate: float = 0.7, inclusive: bool = False, boost: bool = False, title: str = "title") -> DataFrame:
     """qid, cid, score: each query's best candidate by title and authors, ties to the first candidate by ``pos``.
 
     queries: qid, title, authors (joined by " and " or NULL); candidates: cid, pos, title, authors (array), score (NULL).
-    The gate bounds the Jaccard similarity that a pair must have, and prefix filtering on the rarest words
-    finds every such pair without comparing all; nothing is capped.
+    The gate bounds the Jaccard similarity that a pair must have, less where one title holds the other, and prefix
+    filtering on the rarest words finds every such pair without comparing all; nothing is capped.
     """
-    need = (gate - 0.3 - (0.1 if boost else 0.0)) / 0.7 - 0.2
-    share = max(need, 0.01)
+    need = max((gate - 0.3 - (0.1 if boost else 0.0)) / 0.7, 0.01)
     q = queries.withColumn("_t", search_title(F.col(title))).withColumn("_qw", word_set(F.col("_t"))).where(F.size("_qw") > 0)
     c = candidates.withColumn("_u", search_title(F.col(title))).withColumn("_cw", word_set(F.col("_u"))).where(F.size("_cw") > 0)
     frequency = q.select(F.explode("_qw").alias("_w")).unionByName(c.select(F.explode("_cw").alias("_w"))).groupBy("_w").agg(F.count("*").alias("_df"))
-    pairs = _prefixes(q, "qid", "_qw", frequency, share).join(_prefixes(c, "cid", "_cw", frequency, share), "_w").select("qid", "cid").distinct()
+    qr, cr = _ranked(q, "qid", "_qw", frequency), _ranked(c, "cid", "_cw", frequency)
+    by_share = lambda share: F.ceil(F.lit(share) * F.col("_n"))
+    held = F.greatest(F.col("_n") - 2, F.lit(1))  # all words but the outer two of a text are whole in one that holds it
+    wide = max(need - 0.2, 0.01)  # a title that holds the other has a bonus
+    q_near, c_near = _rarest(qr, "qid", by_share(need), "q"), _rarest(cr, "cid", by_share(need), "c")
+    q_wide, c_wide = _rarest(qr, "qid", by_share(wide), "q"), _rarest(cr, "cid", by_share(wide), "c")
+    pairs = _meet(q_near, c_near, need).unionByName(_meet(q_wide, _rarest(cr, "cid", held, "c"), wide)).unionByName(_meet(_rarest(qr, "qid", held, "q"), c_wide, wide)).distinct()
     joined = pairs.join(q.select("qid", "_t", "_qw", F.col("authors").alias("_qa")), "qid").join(c.select("cid", "pos", "_u", "_cw", F.col("authors").alias("_ca"), F.col("score").alias("_s")), "cid")
     extra = F.least(F.coalesce("_s", F.lit(0.0)) / 100, F.lit(0.1)) if boost else F.lit(0.0)
     # titles decide first; authors are compared only where they can still lift a pair over the gate
@@ -71,8 +101,3 @@ def is_preprint(journal: Column, doi: Column, url: Column, raw: Column) -> Colum
     named = F.exists(F.array(*map(F.lit, ("archiveprefix", "eprint", "primaryclass"))), lambda k: has(F.try_element_at(fields, k)))
     number = F.coalesce(F.try_element_at(fields, F.lit("eprint")).rlike(r"^(\d{4}\.\d{4,5}|[a-z-]+/\d{7})$"), F.lit(False))
     return has(journal) | has(doi) | has(url) | F.coalesce(named, F.lit(False)) | number
-
-
-def least_jaccard(gate: float, boost: bool = False) -> float:
-    """The least Jaccard similarity of titles with which a score can reach a gate."""
-    return math.floor(max((gate - 0.3 - (0.1 if boost else 0.0)) / 0.7 - 0.2, 0.0) * 1e9) / 1e9
