@@ -70,8 +70,11 @@ def best_match(queries: DataFrame, candidates: DataFrame, gate: float = 0.7, inc
     wide = max(need - 0.2, 0.01)  # a title that holds the other has a bonus
     q_near, c_near = _rarest(qr, "qid", by_share(need), "q"), _rarest(cr, "cid", by_share(need), "c")
     q_wide, c_wide = _rarest(qr, "qid", by_share(wide), "q"), _rarest(cr, "cid", by_share(wide), "c")
-    pairs = _meet(q_near, c_near, need).unionByName(_meet(q_wide, _rarest(cr, "cid", held, "c"), wide)).unionByName(_meet(_rarest(qr, "qid", held, "q"), c_wide, wide)).distinct()
+    near_pairs = _meet(q_near, c_near, need).withColumn("_held", F.lit(False))
+    held_pairs = _meet(q_wide, _rarest(cr, "cid", held, "c"), wide).unionByName(_meet(_rarest(qr, "qid", held, "q"), c_wide, wide)).withColumn("_held", F.lit(True))
+    pairs = near_pairs.unionByName(held_pairs).groupBy("qid", "cid").agg(F.min("_held").alias("_held"))
     joined = pairs.join(q.select("qid", "_t", "_qw", F.col("authors").alias("_qa")), "qid").join(c.select("cid", "pos", "_u", "_cw", F.col("authors").alias("_ca"), F.col("score").alias("_s")), "cid")
+    joined = joined.where(~F.col("_held") | F.lower("_t").contains(F.lower("_u")) | F.lower("_u").contains(F.lower("_t")))
     extra = F.least(F.coalesce("_s", F.lit(0.0)) / 100, F.lit(0.1)) if boost else F.lit(0.0)
     # titles decide first; authors are compared only where they can still lift a pair over the gate
     titled = joined.select("qid", "cid", "pos", "_qa", "_ca", extra.alias("_x"), set_similarity(F.col("_t"), F.col("_u"), F.col("_qw"), F.col("_cw")).alias("_ts"))
