@@ -12,7 +12,7 @@ a name that is repeated in a third of all rows is a single row.
 
 Defined cases: NULL, empty and blank names are no names; repeated strings count once; a string without a given name
 links only with strings of the same form; extra columns are ignored; empty tables give no pairs.
-An initial that fits several persons of a family goes to those of them that its own records name, else to the best-attested.
+An initial that fits several persons of a family goes to the best-attested of them.
 """
 
 from __future__ import annotations
@@ -258,6 +258,21 @@ def _nicknames(spark) -> DataFrame:
     return spark.createDataFrame(sorted({(fold(a), fold(b)) for a, b in rows}), "first string, full string")
 
 
+def _given_kin(firsts: DataFrame, nick: DataFrame) -> DataFrame:
+    """g_a, g_b, giv_sim, slip: given names that can stand for each other, or that differ by an error (slip), both ways round."""
+    plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("oe"), F.lit("o")), F.lit("ae"), F.lit("a")), F.lit("ue"), F.lit("u"))
+    p = firsts.withColumn("p", plain(F.col("first")))
+    spelt = p.select(F.col("first").alias("g_a"), "p").join(p.select(F.col("first").alias("g_b"), "p"), "p").where("g_a <> g_b").select("g_a", "g_b", F.lit(1.0).alias("giv_sim"), F.lit(False).alias("slip"))
+    known = nick.select(F.col("first").alias("g_a"), "full").join(nick.select(F.col("first").alias("g_b"), "full"), "full").where("g_a <> g_b").select("g_a", "g_b", F.lit(0.95).alias("giv_sim"), F.lit(False).alias("slip"))
+    known = known.join(firsts.select(F.col("first").alias("g_a")), "g_a", "left_semi").join(firsts.select(F.col("first").alias("g_b")), "g_b", "left_semi")
+    errors = similar_tokens(firsts.where("length(first) > 2").select(F.col("first").alias("token")))
+    sim = 1 - 1 / F.greatest(F.length("a"), F.length("b"))
+    slips = errors.select(F.col("a").alias("g_a"), F.col("b").alias("g_b"), sim.alias("giv_sim"), F.lit(True).alias("slip"))
+    every = spelt.unionByName(known).unionByName(slips).unionByName(slips.select(F.col("g_b").alias("g_a"), F.col("g_a").alias("g_b"), "giv_sim", "slip"))
+    best = every.groupBy("g_a", "g_b").agg(F.max(F.struct((~F.col("slip")).alias("known"), "giv_sim")).alias("m"))
+    return best.select("g_a", "g_b", F.col("m.giv_sim").alias("giv_sim"), (~F.col("m.known")).alias("slip"))
+
+
 def _soft(fam_sim: Column, giv_sim: Column) -> Column:
     """Soft weighted similarity of two names: the parts' similarities, weighted by the parts' rarity."""
     return (F.col("w_fam") * fam_sim + F.col("w_giv") * giv_sim) / (F.col("w_fam") + F.col("w_giv"))
@@ -281,27 +296,29 @@ def link(names: DataFrame) -> DataFrame:
     weighed = persons.join(fam_n, "fam").join(giv_n, "first", "left").crossJoin(F.broadcast(total)).select(
         "fam", "first", "n", "org", "mid", F.coalesce("giv_fams", F.lit(0)).alias("giv_fams"),
         F.log(F.lit(1.0) + F.col("all") / F.col("fam_n")).alias("w_fam"), F.when(F.col("first") == "", 0.0).otherwise(F.log(F.lit(1.0) + F.col("all") / F.coalesce("giv_n", F.lit(1)))).alias("w_giv"))
-    weighed = checkpoint(weighed.join(nick.groupBy("first").agg(F.collect_set("full").alias("nick")), "first", "left"))
+    weighed = checkpoint(weighed)
 
     near = checkpoint(similar_tokens(persons.select(F.col("fam").alias("token")).unionByName(forms.where("NOT full").select(F.col("fam").alias("token"))).where("length(token) >= 4").distinct()))
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    givens = checkpoint(_given_kin(persons.where("first <> ''").select("first").distinct(), nick))
 
     low = weighed.select(*[F.col(c).alias(f"l_{c}") for c in weighed.columns])
+    cols = [*low.columns, *weighed.columns, "d_fam", "giv_sim"]
     # the same family: given names by error or nickname; a similar family: the same given name or its nickname
-    same = low.join(weighed, F.col("l_fam") == F.col("fam")).where("NOT org AND l_first <> first").withColumn("d_fam", F.lit(0))
-    close = low.join(both, F.col("l_fam") == F.col("a")).join(weighed, F.col("b") == F.col("fam")).where("org = l_org").drop("a", "b").withColumn("d_fam", F.lit(1))
-    cols = [*same.columns]
+    same = low.join(givens, F.col("l_first") == F.col("g_a")).join(weighed, (F.col("l_fam") == F.col("fam")) & (F.col("g_b") == F.col("first")))
+    same = same.where("NOT org AND (NOT slip OR giv_fams < {0} OR l_giv_fams < {0})".format(OWN_NAME)).withColumn("d_fam", F.lit(0)).select(*cols)
+    alike = givens.where("NOT slip").select("g_a", "g_b", "giv_sim")
+    fams = low.join(both, F.col("l_fam") == F.col("a")).withColumn("d_fam", F.lit(1))
+    close = fams.withColumn("giv_sim", F.lit(1.0)).join(weighed, (F.col("b") == F.col("fam")) & (F.col("l_first") == F.col("first")) & (F.col("l_org") == F.col("org"))).select(*cols)
+    close = close.unionByName(fams.join(alike, F.col("l_first") == F.col("g_a")).join(weighed, (F.col("b") == F.col("fam")) & (F.col("g_b") == F.col("first"))).select(*cols))
     # one half of a double name: the same given name beside the whole
     double = forms.where("full AND NOT org AND size(halves) > 1").select(F.col("fam").alias("whole"), F.explode("halves").alias("half")).distinct().where("whole <> half")
-    part = low.join(double, F.col("l_fam") == F.col("half")).join(weighed, (F.col("whole") == F.col("fam")) & (F.col("l_first") == F.col("first"))).withColumn("d_fam", F.lit(2)).select(*cols)
-    kin = F.arrays_overlap(F.coalesce("nick", F.array("first")), F.coalesce("l_nick", F.array("l_first"))) | F.coalesce(F.array_contains("nick", F.col("l_first")), F.lit(False)) | F.coalesce(F.array_contains("l_nick", F.col("first")), F.lit(False))
-    slip = one_error(F.col("first"), F.col("l_first")) & ((F.col("giv_fams") < OWN_NAME) | (F.col("l_giv_fams") < OWN_NAME)) & (F.length("first") > 2) & (F.length("l_first") > 2)
-    plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("oe"), F.lit("o")), F.lit("ae"), F.lit("a")), F.lit("ue"), F.lit("u"))
-    giv_sim = F.when(plain(F.col("first")) == plain(F.col("l_first")), 1.0).when(kin, 0.95).when(slip & (F.col("d_fam") == 0), 1 - 1 / F.greatest(F.length("first"), F.length("l_first"))).otherwise(0.0)
+    part = low.join(double, F.col("l_fam") == F.col("half")).join(weighed, (F.col("whole") == F.col("fam")) & (F.col("l_first") == F.col("first"))).withColumns({"d_fam": F.lit(2), "giv_sim": F.lit(1.0)}).select(*cols)
+    giv_sim = F.col("giv_sim")
     fam_sim = F.when(F.col("d_fam") == 0, 1.0).when(F.col("d_fam") == 2, 0.9).otherwise(1 - 1 / F.greatest(F.length("fam"), F.length("l_fam")))
     # the weights of the better attested form: an error makes any token look rare
     upward = (F.col("l_n") < F.col("n")) | ((F.col("l_n") == F.col("n")) & (F.struct("l_fam", "l_first") > F.struct("fam", "first")))
-    cand = same.unionByName(close.select(*cols)).where(upward).unionByName(part)
+    cand = same.unionByName(close).where(upward).unionByName(part)
     edges = cand.where(_soft(fam_sim, giv_sim) >= SIMILAR).groupBy("l_fam", "l_first").agg(F.max(F.struct(_soft(fam_sim, giv_sim).alias("s"), F.col("n"), F.col("fam"), F.col("first"))).alias("up"))
     up = edges.select(F.col("l_fam").alias("fam"), F.col("l_first").alias("first"), F.col("up.fam").alias("u_fam"), F.col("up.first").alias("u_first"))
     root = persons.join(up, ["fam", "first"], "left").select("fam", "first", "mid", "n", F.coalesce("u_fam", "fam").alias("r_fam"), F.coalesce("u_first", "first").alias("r_first"))
