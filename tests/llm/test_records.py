@@ -114,3 +114,17 @@ def test_linkage(spark):
     got = {(r.ord, r.work_id): r.confidence_score for r in linkage.match_publications(entries, works).collect()}
     assert set(got) == {(1, 1), (2, 1), (1_000, 1), (1, 2), (2, 2), (1_000, 2), (4, 3)} | ({(8, 6)} & set(got)) and all(0 <= s <= 1 for s in got.values())
     assert linkage.match_publications(entries.limit(0), works).count() == 0 and linkage.match_publications(entries, works.limit(0)).count() == 0
+
+
+def test_linkage_of_a_hot_publication(spark):
+    t = "Do northern startups need low-cost seed libraries? Mapping the case through notes on parish registers"
+    noise = "Tidal river gauges in {} clinics: an audit of {} field diaries by quiet towns"
+    letters = [i for i, c in enumerate(t) if c.isalpha()]
+    more = lambda i: t[: letters[i]] + t[letters[i]] + t[letters[i] :]
+    less = lambda i: t[: letters[i]] + t[letters[i] + 1 :]
+    e = [(i, more(i % 80), ["Doe, Jane", "Roe, Richard" + " X" * (i // 80)], "2020") for i in range(90)] + [(1000 + i, noise.format(i * "x" + "a", i * "y" + "b"), ["Poe, Max"], "2011") for i in range(40)]
+    w = [(i, less(i), ["Jane Doe", "Richard Roe"], "2020") for i in range(60)]
+    entries = spark.createDataFrame(e, "ord bigint, title string, authors array<string>, year string")
+    works = spark.createDataFrame([(i, x, None, d, [((a,),) for a in au]) for i, x, au, d in w], "work_id bigint, title string, display_name string, publication_date string, authorships array<struct<author:struct<display_name:string>>>")
+    got = {(r.ord, r.work_id) for r in linkage.match_publications(entries, works).collect()}
+    assert got == {(i, j) for i in range(90) for j in range(60)}
