@@ -142,3 +142,36 @@ def test_freshness(spark):
     assert [r.post for r in freshness.hold(f, None).collect()] == [True, True]
     assert {r.key: r.post for r in freshness.hold(f, spark.createDataFrame([("x",)], "key string")).collect()} == {"x": True, "y": False}
     assert not any(r.post for r in freshness.hold(f, f.limit(0)).collect())
+
+
+def test_resolver_and_inbox(spark):
+    s = spark.createDataFrame([("1", ["https://arxiv.org/abs/2401.01234"], None, "2401.01234"), ("2", [], "10.1234/A", None), ("3", ["https://p.org/x"], None, None), ("4", ["https://q.org/y"], None, None), ("5", ["https://r.org/z"], None, None)], "ts string, urls array<string>, doi string, preprint string")
+    kinds = "title string, authors array<string>, year string, url string, abstract string"
+    pre = spark.createDataFrame([("2401.01234", "P", ["A"], "2024", "u", "x")], f"arxiv_id string, {kinds}")
+    cross = spark.createDataFrame([("10.1234/a", "C", ["B"], "2020", "u", None)], f"doi string, {kinds}")
+    data = spark.createDataFrame([("10.5/d", "D", [], "2021", "u", None)], f"doi string, {kinds}")
+    pages = spark.createDataFrame([("https://p.org/x", None, None, None, "10.5/D"), ("https://q.org/y", "Page", ["C"], "2019", None)], "url string, title string, authors array<string>, year string, doi string")
+    got = {r.ts: (r.paper.source, r.paper.title) for r in archive.resolve(s, pre, cross, data, pages).collect()}
+    assert got == {"1": ("arxiv", "P"), "2": ("crossref", "C"), "3": ("datacite", "D"), "4": ("landing_page", "Page"), "5": ("minimal", None)}
+    inbox = spark.createDataFrame([("K1", "10.1/X"), ("K2", None)], "key string, doi string")
+    rows = spark.createDataFrame([("K2", None), ("K9", "10.1/x"), ("K8", "10.1/y")], "key string, doi string")
+    assert {r.key: r.is_there for r in archive.contains(rows, inbox).collect()} == {"K2": True, "K9": True, "K8": False}
+    m = spark.createDataFrame([("9.5",), ("10.5",)], "ts string")
+    assert archive.cursor(m).first()[0] == "10.5" and [r.ts for r in archive.unseen(m, m.limit(0), "9.5").collect()] == ["10.5"]
+    k = spark.createDataFrame([("a",), ("b",)], "doi string")
+    c = spark.createDataFrame([("a", dt.datetime(2024, 5, 30), None)], "doi string, cached_at timestamp, result string")
+    hits, misses = cache.split_hits(k, c, _Now(), "doi")
+    assert (hits.count(), [r.doi for r in misses.collect()]) == (1, ["b"])
+    r = spark.range(1).select(cache.failure_reason(F.lit("K"), F.lit(None).cast("string"), F.lit("Tit"), F.array(*map(F.lit, "abc")), ["X"]))
+    assert r.first()[0] == "Could not enrich entry: K | No DOI available | Title length: 3 chars | Authors: a, b... | APIs: X enabled"
+
+
+def test_build(spark, tmp_path):
+    from vellum.plans.build import build_feeds
+
+    (tmp_path / "a.bib").write_text("@article{A,\n title = {First title here},\n doi = {10.1/a},\n year = {2020}\n}\n")
+    (tmp_path / "b.bib").write_text("@article{B,\n title = {Again},\n doi = {10.1/A}\n}\n@book{C,\n title = {Third title here}\n}\n")
+    items = build_feeds(spark, [(f"{tmp_path}/a.bib", "main"), (f"{tmp_path}/b.bib", "inbox")], str(tmp_path / "out"), rss=True)
+    assert sorted(r.id for r in items.collect()) == ["bibtex:A", "bibtex:C"]
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out/feed.json").glob("part-*")))
+    assert len(json.loads(text)["items"]) == 2

@@ -35,3 +35,8 @@ def author_objects(enriched: Column, own: Column) -> Column:
     """Names as objects, those of the enrichment first."""
     use = F.when(F.size(enriched) > 0, enriched).otherwise(own)
     return F.transform(F.coalesce(use, F.array().cast("array<string>")), lambda a: F.struct(a.alias("name")))
+
+
+def display_name(profile_real: Column, real: Column, display: Column, name: Column) -> Column:
+    """The name to show of a user, the first that is there."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in (profile_real, real, display, name)])

@@ -44,3 +44,9 @@ def page_meta(html: Column, tags: Column) -> Column:
     years = [F.nullif(F.regexp_extract(_first(tags, t), r"\b((?:19|20)\d{2})\b", 1), F.lit("")) for t in DATE_TAGS]
     authors = F.transform(F.filter(tags, lambda x: x["label"].isin(*AUTHOR_TAGS)), lambda x: x["content"])
     return F.struct(F.coalesce(*ranked, F.when(~any_title | F.coalesce(*ranked).isNull(), fallback)).alias("title"), authors.alias("authors"), F.coalesce(*years).alias("year"))
+
+
+def usable_html(content_type: Column, html: Column, limit: int = 2_000_000) -> Column:
+    """The beginning of a page that is HTML or XML, up to the limit; NULL for anything else."""
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    return F.when(kind.contains("html") | kind.contains("xml"), F.substring(html, 1, limit))

@@ -93,3 +93,50 @@ def completed(pending: DataFrame, replies: DataFrame) -> DataFrame:
     with_pdf = replies.withColumn("pdf", first_pdf(F.col("files"))).where("pdf IS NOT NULL")
     first = with_pdf.groupBy("thread_ts").agg(F.min_by(F.struct("ts", "pdf"), F.col("ts").cast("decimal(20,6)")).alias("r"))
     return pending.join(first, F.col("thread_ts") == F.col("ts")).select(*[pending[c] for c in pending.columns], F.col("r.ts").alias("reply_ts"), F.col("r.pdf").alias("pdf"))
+
+
+def contains(rows: DataFrame, inbox: DataFrame) -> DataFrame:
+    """Rows (key, doi) with ``is_there``: the inbox (key, doi) has the key, or the DOI in any case. Two equality joins."""
+    low = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    keys = inbox.select("key", F.lit(True).alias("_k")).distinct()
+    dois = inbox.select(low("doi").alias("_d"), F.lit(True).alias("_o")).where("_d IS NOT NULL").distinct()
+    out = rows.withColumn("_d", low("doi")).join(keys, "key", "left").join(dois, "_d", "left")
+    return out.withColumn("is_there", F.coalesce("_k", "_o", F.lit(False))).drop("_k", "_o", "_d")
+
+
+def resolve(suggestions: DataFrame, preprints: DataFrame, crossref: DataFrame, datacite: DataFrame, pages: DataFrame) -> DataFrame:
+    """Suggestions with ``paper``, from the first that knows them: preprint server, Crossref, DataCite, landing page, or just their links.
+
+    suggestions: ts, urls, doi, preprint (see ``route``); preprints by arxiv_id, crossref and datacite by doi, with title, authors,
+    year, url, abstract; pages: url, title, authors, year, doi. A page's DOI counts where the message has none.
+    """
+    fields = ("doi", "title", "authors", "year", "url", "abstract", "arxiv_id", "source")
+
+    def paper(source: str, **cols: Column) -> Column:
+        kinds = {"authors": "array<string>"}
+        return F.struct(*[cols.get(f, F.lit(None)).cast(kinds.get(f, "string")).alias(f) for f in fields[:-1]], F.lit(source).alias("source"))
+
+    each = suggestions.select("ts", F.posexplode("urls").alias("_p", "url")).where(~F.lower("url").contains("arxiv.org"))
+    seen = each.join(pages, "url").groupBy("ts").agg(F.min_by(F.struct("title", "authors", "year"), F.when(F.col("title").isNotNull(), F.col("_p"))).alias("page"), F.min_by("doi", F.when(F.col("doi").isNotNull(), F.col("_p"))).alias("page_doi"))
+    s = suggestions.join(seen, "ts", "left").withColumn("_doi", F.coalesce("doi", "page_doi")).withColumn("_key", doi_archive(F.col("_doi")))
+
+    def source(df: DataFrame, key: str, name: str, k: Column) -> DataFrame:
+        return df.select(k.alias(key), F.struct(*[F.col(c) for c in df.columns]).alias(name)).groupBy(key).agg(F.any_value(name).alias(name))
+
+    s = s.join(source(preprints, "preprint", "_a", F.col("arxiv_id")), "preprint", "left")
+    s = s.join(source(crossref, "_key", "_c", doi_archive(F.col("doi"))), "_key", "left").join(source(datacite, "_key", "_d", doi_archive(F.col("doi"))), "_key", "left")
+    link = F.get("urls", F.lit(0))
+    known = lambda n, src, **more: F.when(F.col(n).isNotNull(), paper(src, **{f: F.col(f"{n}.{f}") for f in ("title", "authors", "year", "url", "abstract")}, **more))
+    page = F.when(F.col("page.title").isNotNull(), paper("landing_page", doi=F.col("_doi"), title=F.col("page.title"), authors=F.col("page.authors"), year=F.col("page.year"), url=link, arxiv_id=F.col("preprint")))
+    best = F.coalesce(known("_a", "arxiv", doi=F.col("_doi"), arxiv_id=F.col("preprint")), known("_c", "crossref", doi=F.col("_doi")), known("_d", "datacite", doi=F.col("_doi")), page, paper("minimal", doi=F.col("_doi"), url=link, arxiv_id=F.col("preprint")))
+    return s.withColumn("paper", best).select(*suggestions.columns, "paper")
+
+
+def outbox(routed: DataFrame, channel: str, text: Column) -> DataFrame:
+    """Replies to send, one row each; delivery is left to the caller."""
+    return routed.select(F.lit(channel).alias("channel_id"), F.col("ts").alias("thread_ts"), text.alias("text")).where("text IS NOT NULL")
+
+
+def cursor(messages: DataFrame) -> DataFrame:
+    """The time stamp up to which messages are done."""
+    return messages.agg(F.max_by("ts", F.col("ts").cast("decimal(20,6)")).alias("last_ts"))

@@ -70,3 +70,21 @@ def merge(old: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
     n, o = new.withColumn("_new", F.lit(True)).alias("n"), old.alias("o")
     both = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     return both.select(*[F.when(F.col("n._new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in old.columns])
+
+
+def split_hits(keys: DataFrame, cache: DataFrame, now: Column, key: str, ttl_days: int = TTL_DAYS) -> tuple[DataFrame, DataFrame]:
+    """Keys that a lookup cache answers, also with "not found", and keys that must be fetched and appended."""
+    good = cache.where(~expired(now, F.col("cached_at"), ttl_days))
+    return keys.join(good, key), keys.join(good.select(key), key, "left_anti")
+
+
+def failure_reason(key: Column, doi: Column, title: Column, authors: Column, providers: list[str]) -> Column:
+    """What a failed fetch had to go by, as one line."""
+    some = lambda c: F.coalesce(c != "", F.lit(False))
+    names = F.concat(F.array_join(F.slice(authors, 1, 2), ", "), F.when(F.size(authors) > 2, "...").otherwise(""))
+    parts = [
+        F.when(some(doi), F.concat(F.lit("DOI: "), doi)).otherwise("No DOI available"),
+        F.when(some(title), F.concat(F.lit("Title length: "), F.length(title).cast("string"), F.lit(" chars"))).otherwise("No title available"),
+        F.when(F.coalesce(F.size(authors) > 0, F.lit(False)), F.concat(F.lit("Authors: "), names)).otherwise("No authors available"),
+    ]
+    return F.concat_ws(" | ", F.concat(F.lit("Could not enrich entry: "), key), *parts, F.lit(f"APIs: {', '.join(f'{p} enabled' for p in providers) or 'None enabled'}"))

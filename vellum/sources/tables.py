@@ -60,3 +60,16 @@ def write_document(lines: DataFrame, path: str) -> None:
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     """url, status, content_type, content of PDF files in a folder, as downloads."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select(F.col("path").alias("url"), F.lit(200).alias("status"), F.lit("application/pdf").alias("content_type"), "content")
+
+
+def load_settings(path: str, env: dict[str, str] | None = None) -> dict:
+    """Settings of a JSON or YAML file with ``${NAME}`` replaced; YAML only where its library is there."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith((".yml", ".yaml")):
+        import yaml
+
+        return substitute(yaml.safe_load(text) or {}, env)
+    import json
+
+    return substitute(json.loads(text), env)

@@ -76,8 +76,12 @@ def pending(thread_rows: DataFrame, expire_days: int = 30) -> DataFrame:
     return thread_rows.groupBy("thread").applyInPandasWithState(_step(expire_days * 86_400_000), _OUT, _STATE, "append", timeout)
 
 
-def write_once(rows: DataFrame, table_path: str, checkpoint: str, key: str = "ts") -> StreamingQuery:
-    """Append batches to a table so that a key is there once, also after a batch is repeated."""
+def write_once(rows: DataFrame, table_path: str, checkpoint: str, key: str = "ts", every: str | None = None) -> StreamingQuery:
+    """Append batches to a table so that a key is there once, also after a batch is repeated.
+
+    ``every`` runs batches at an interval; without it the query takes what is there and ends. Rows of ``pending`` need an
+    interval, as states that expire by time keep such a query from ending.
+    """
 
     def sink(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
@@ -87,4 +91,5 @@ def write_once(rows: DataFrame, table_path: str, checkpoint: str, key: str = "ts
             fresh = fresh.join(spark.read.parquet(table_path).select(key), key, "left_anti")
         fresh.select(*batch.columns).write.mode("append").parquet(table_path)
 
-    return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
