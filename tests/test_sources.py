@@ -81,3 +81,32 @@ def test_stream(spark, tmp_path, tag):
     for _ in range(2):
         ingest.write_once(plain, str(tmp_path / "u"), str(tmp_path / "d")).awaitTermination(60)
     assert sorted(r.ts for r in spark.read.parquet(str(tmp_path / "u")).collect()) == ["1.0", "3.0"]
+
+
+def test_pending_state_expires():
+    import pandas as pd
+
+    class State:
+        """What the step uses of a group state."""
+
+        def __init__(self):
+            self.value, self.hasTimedOut, self.timeout = None, False, None
+
+        exists = property(lambda self: self.value is not None)
+        get = property(lambda self: self.value)
+
+        def update(self, value):
+            self.value = value
+
+        def remove(self):
+            self.value = None
+
+        def setTimeoutDuration(self, ms):
+            self.timeout = ms
+
+    step, state = ingest._step(1000), State()
+    ask = pd.DataFrame({"ts": ["1.0"], "text": ["x"], "has_pdf": [False], "asks": [True], "is_reply": [False]})
+    assert pd.concat(step(("1.0",), iter([ask]), state)).outcome.tolist() == ["asked_for_pdf"] and state.timeout == 1000
+    assert list(step(("1.0",), iter([ask]), state)) == []
+    state.hasTimedOut = True
+    assert pd.concat(step(("1.0",), iter([]), state)).outcome.tolist() == ["expired"] and not state.exists
