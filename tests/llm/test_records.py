@@ -128,3 +128,18 @@ def test_linkage_of_a_hot_publication(spark):
     works = spark.createDataFrame([(i, x, None, d, [((a,),) for a in au]) for i, x, au, d in w], "work_id bigint, title string, display_name string, publication_date string, authorships array<struct<author:struct<display_name:string>>>")
     got = {(r.ord, r.work_id) for r in linkage.match_publications(entries, works).collect()}
     assert got == {(i, j) for i in range(90) for j in range(60)}
+
+
+def published(spark, e, w):
+    entries = spark.createDataFrame(e, "ord bigint, title string, authors array<string>, year string")
+    works = spark.createDataFrame([(i, x, None, d, [((a,),) for a in au]) for i, x, au, d in w], "work_id bigint, title string, display_name string, publication_date string, authorships array<struct<author:struct<display_name:string>>>")
+    return {(r.ord, r.work_id) for r in linkage.match_publications(entries, works).collect()}
+
+
+def test_linkage_of_a_long_title_and_its_beginning(spark):
+    t = "Small island newsrooms need self organised map tiles: weighing the case through harbour diaries and ledgers"
+    many = ["Jane Doe", "Quentin Abelard", "Ruth Bexley", "Tomas Cindrel"]
+    noise = "Tidal gauges {} clinics audit {} quiet towns"
+    e = [(1, t, many, "2020")] + [(100 + i, noise.format("a" + i * "x", "b" + i * "y"), ["Jane Doe"], "2011") for i in range(20)]
+    w = [(1, "Small island newsrooms need self", ["Jane Doe"], "2021")] + [(100 + i, noise.format("c" + i * "z", "d" + i * "v"), ["Jane Doe"], "1990") for i in range(20)]
+    assert published(spark, e, w) == {(1, 1)}
