@@ -143,3 +143,14 @@ def test_linkage_of_a_long_title_and_its_beginning(spark):
     e = [(1, t, many, "2020")] + [(100 + i, noise.format("a" + i * "x", "b" + i * "y"), ["Jane Doe"], "2011") for i in range(20)]
     w = [(1, "Small island newsrooms need self", ["Jane Doe"], "2021")] + [(100 + i, noise.format("c" + i * "z", "d" + i * "v"), ["Jane Doe"], "1990") for i in range(20)]
     assert published(spark, e, w) == {(1, 1)}
+
+
+def test_linkage_by_a_frequent_run(spark):
+    many = ["Jane Doe", "Quentin Abelard", "Ruth Bexley", "Tomas Cindrel"]
+    noise = "Tidal gauges {} clinics audit {} quiet towns"
+    end = "{} rumours: insights million posts"
+    e = [(1, "River gauges among delta choirs, sampling change: insights million posts", many, "2020")] + [(100 + i, noise.format("a" + i * "x", "b" + i * "y"), ["Jane Doe"], "2011") for i in range(20)]
+    w = [(1, "Insights million posts", ["Jane Doe"], "2021")] + [(100 + i, noise.format("c" + i * "z", "d" + i * "v"), ["Jane Doe"], "1990") for i in range(20)]
+    e += [(200 + i, end.format("k" + i * "q"), ["Max Poe"], "2011") for i in range(7)]
+    w += [(200 + i, end.format("m" + i * "j"), ["Ann Loe"], "1990") for i in range(7)]
+    assert published(spark, e, w) == {(1, 1)}
