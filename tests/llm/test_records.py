@@ -87,13 +87,41 @@ def test_names(spark):
     assert linked(spark) == set() and linked(spark, "Solo Name") == set()
 
 
+def test_short_and_long_names(spark):
+    # an error in a short family name counts if the given name tells more than the family does
+    crowd = [f"{g} {f}" for g in ("Ada", "Bela", "Cora", "Dina", "Emil") for f in ("Roe", "Lee", "Wu", "Osterberg")]
+    got = linked(spark, *crowd, "Quentilla Roe", "Roe, Quentilla", "Quentilla Reo", "Xaveria Lee", "Lee, Xaveria", "Lea, Xaveria", "Tamsinka Wu", "Wu, Tamsinka", "Tamsinka Uw")
+    assert {("Quentilla Reo", "Quentilla Roe"), ("Lea, Xaveria", "Lee, Xaveria")} <= got
+    many = ["Roe, Jane A. B. C. D.", "Jane Roe", "Roe, J. A. B. C. D.", "Roe, J. A. B. C. X."]
+    got = linked(spark, *many)
+    assert ("Roe, J. A. B. C. D.", "Roe, Jane A. B. C. D.") in got and ("Roe, J. A. B. C. X.", "Roe, Jane A. B. C. D.") not in got
+
+
+def test_given_names_of_their_own_stay_apart_at_any_size(spark):
+    # marta and maria each stand in many families, both in one of ten; hirsohi only beside hiroshi
+    for families in (10, 100):
+        fam = [f"{a}{b}voski" for a in ("Kelu", "Domi", "Prafo", "Wizu", "Zegga", "Tomo", "Ruri", "Sabe", "Lomo", "Quifa") for b in ("nar", "tiko", "bel", "sorum", "dag", "vimo", "lukr", "penz", "hoba", "jiss")][:families]
+        rows = [f"{g} {f}" for i, f in enumerate(fam) for g in (["Marta", "Maria"] if i % 10 == 0 else ["Marta"] if i % 2 else ["Maria"])]
+        rows += [f"{g} {f}" for i, f in enumerate(fam) for g in (["Hiroshi", "Hiroshi ", "Hirsohi"] if i % 5 == 0 else ["Hiroshi"])]
+        got = linked(spark, *rows)
+        assert not any({a.split()[0], b.split()[0]} == {"Marta", "Maria"} for a, b in got)
+        assert sum({a.split()[0], b.split()[0]} == {"Hiroshi", "Hirsohi"} for a, b in got) >= families // 5
+
+
+def test_names_of_a_hot_family(spark):
+    given = [f"{a}{b}{c}" for a in ("Ka", "Lo", "Mi", "Nu", "Pe", "Ru", "Sa", "To", "Vi", "Zo") for b in ("bran", "culo", "dimo", "fert", "gash") for c in ("dor", "lix", "mund", "par")]
+    names_ = spark.createDataFrame([(f"{g} Hotfamily",) for g in given] + [(f"Hotfamily, {g[0]}.",) for g in given], "name string")
+    got = names.pairs(names.link(names_))
+    assert got.where("name_a LIKE 'Hotfamily%'").select("name_a").distinct().count() == 10
+
+
 def test_similar_tokens_against_brute_force(spark):
     import random
 
     random.seed(3)
-    tokens = sorted({"".join(random.choices("abcde", k=random.randint(4, 8))) for _ in range(400)})
-    df = spark.createDataFrame([(t,) for t in tokens], "token string")
-    pairs = df.withColumnRenamed("token", "a").join(df.withColumnRenamed("token", "b")).where("a < b")
+    tokens = sorted({"".join(random.choices("abcde", k=random.randint(2, 8))) for _ in range(400)})
+    df = spark.createDataFrame([("f", t) for t in tokens], "kind string, token string")
+    pairs = df.select(F.col("token").alias("a")).join(df.select(F.col("token").alias("b"))).where("a < b")
     want = {(r.a, r.b) for r in pairs.where(names.one_error(F.col("a"), F.col("b"))).collect()}
     got = {(r.a, r.b) for r in names.similar_tokens(df).collect()}
     assert got == want and want

@@ -25,14 +25,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import free, stored
 
 #: Grams of a token that must hold a common one, for one error (a swap of neighbours changes up to Q + 1 grams).
 Q, PREFIX = 3, 5
 #: Least soft weighted similarity of two forms of one name.
 SIMILAR = 0.82
-#: Families in which a given name must be found to count as a name of its own, not an error.
-OWN_NAME = 8
+#: Part of the families of the rarer of two given names in which the other must be found too: an error stands beside
+#: the name it was meant to be, a name of its own mostly without it. It is a share, so it holds at any size.
+BESIDE = 0.5
 
 #: Given names that stand for each other; the first of a line is the full one. Fixed values, common knowledge.
 NICKNAMES = """
@@ -202,8 +203,8 @@ def text_given(text: str, joined: list[str]) -> list[str]:
     return [raw.get(w, w) for w in joined]
 
 
-_SCHEMA = "name string, org boolean, fam string, giv array<string>, halves array<string>, fams array<string>, givs array<array<string>>"
-_COLUMNS = ["name", "org", "fam", "giv", "halves", "fams", "givs"]
+_SCHEMA = "name string, n bigint, org boolean, fam string, giv array<string>, halves array<string>, fams array<string>, givs array<array<string>>"
+_COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,22 +212,25 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         names = batch.column(0).to_pylist()
         org, fam, giv, halves, fams, givs = zip(*map(parse, names), strict=True) if names else ((),) * 6
         lists = pa.list_(pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(org, pa.bool_()), pa.array(fam, pa.string()), *(pa.array(x, lists) for x in (giv, halves, fams)), pa.array(givs, pa.list_(lists))], _COLUMNS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(org, pa.bool_()), pa.array(fam, pa.string()), *(pa.array(x, lists) for x in (giv, halves, fams)), pa.array(givs, pa.list_(lists))], _COLUMNS)
 
 
 def read_forms(names: DataFrame) -> DataFrame:
-    """name, n, org, fam, giv, halves of distinct names; where a name can be read in several ways, the family that other names show wins."""
-    read = checkpoint(names.mapInArrow(_parse_batches, _SCHEMA).where("fam <> ''"))
+    """name, n, org, fam, giv, halves, first, full of distinct names (name, n); where a name can be read in several ways,
+    the family that other names show wins. first is the given part that counts, full is false for initials and abbreviations."""
+    read = stored(names.mapInArrow(_parse_batches, _SCHEMA).where("fam <> ''"))
     sure = read.where("NOT org AND size(fams) = 0 AND size(giv) > 0")
-    as_family = sure.select("fam", F.lit(1).alias("f"), F.lit(0).alias("g"))
-    as_given = sure.select(F.get("giv", F.lit(0)).alias("fam"), F.lit(0).alias("f"), F.lit(1).alias("g"))
-    roles = as_family.unionByName(as_given).groupBy("fam").agg(F.sum("f").alias("f"), F.sum("g").alias("g"))
-    more = read.where("size(fams) > 0")
-    ways = more.select("name", "org", "halves", F.explode(F.arrays_zip(F.concat(F.array("fam"), "fams").alias("fam"), F.concat(F.array("giv"), "givs").alias("giv"), F.sequence(F.lit(0), F.size("fams")).alias("k"))).alias("w")).select("name", "org", "halves", "w.*")
-    known = (F.coalesce("f", F.lit(0)) > F.coalesce("g", F.lit(0))).cast("int")
-    ranked = ways.join(roles, "fam", "left").select("name", "org", "halves", F.struct(known.alias("known"), F.when((F.col("k") == 2) & (known == 1), 3).otherwise(-F.col("k")).alias("p"), "fam", "giv").alias("w"))
-    chosen = ranked.groupBy("name").agg(F.any_value("org").alias("org"), F.any_value("halves").alias("halves"), F.max("w").alias("w")).select("name", "org", "w.fam", "w.giv", "halves")
-    return read.where("size(fams) = 0").select("name", "org", "fam", "giv", "halves").unionByName(chosen)
+    seen = sure.select(F.explode(F.array(F.struct(F.col("fam").alias("fam"), F.lit(1).alias("k")), F.struct(F.get("giv", F.lit(0)).alias("fam"), F.lit(-1).alias("k")))).alias("x"))
+    roles = seen.groupBy("x.fam").agg(F.sum("x.k").alias("k")).where("k > 0").select("fam", F.lit(1).alias("known"))
+    zipped = F.arrays_zip(F.concat(F.array("fam"), "fams").alias("fam"), F.concat(F.array("giv"), "givs").alias("giv"), F.sequence(F.lit(0), F.size("fams")).alias("k"))
+    ways = read.where("size(fams) > 0").select("name", "n", "halves", F.explode(zipped).alias("w")).select("name", "n", "halves", "w.*")
+    ranked = ways.join(roles, "fam", "left").withColumn("known", F.coalesce("known", F.lit(0)))
+    order = F.struct("known", F.when((F.col("k") == 2) & (F.col("known") == 1), 3).otherwise(-F.col("k")).alias("p"), "fam", "giv", "n", "halves")
+    chosen = ranked.groupBy("name").agg(F.max(order).alias("w")).select("name", "w.n", F.lit(False).alias("org"), "w.fam", "w.giv", "w.halves")
+    every = read.where("size(fams) = 0").select("name", "n", "org", "fam", "giv", "halves").unionByName(chosen)
+    first = F.when(F.col("org") | (F.size("giv") == 0), F.lit("")).otherwise(F.get("giv", F.lit(0)))
+    full = F.col("org") | ((F.length(first) > 1) & ~first.endswith("."))
+    return stored(every.withColumns({"first": first, "full": full}), read)
 
 
 def one_error(a: Column, b: Column) -> Column:
@@ -240,17 +244,20 @@ def one_error(a: Column, b: Column) -> Column:
 
 
 def similar_tokens(tokens: DataFrame) -> DataFrame:
-    """a, b: distinct tokens that differ by one error, by a prefix-filtered join on positional q-grams."""
+    """kind, a, b: distinct tokens of a kind that differ by one error, by a prefix-filtered join on positional q-grams.
+
+    Tokens have two letters or more; the letters of one of two stand as a gram of their own, as a swap leaves it no other."""
     padded = F.concat(F.lit("^^"), F.col("token"), F.lit("$$"))
     grams = F.transform(F.sequence(F.lit(1), F.length(padded) - Q + 1), lambda i: F.struct(F.substr(padded, i, F.lit(Q)).alias("g"), i.alias("p")))
-    rows = tokens.select("token", F.posexplode(grams).alias("_i", "x")).select("token", "x.g", "x.p")
-    freq = rows.groupBy("g").agg(F.count("*").alias("df"))
-    ranked = rows.join(freq, "g").groupBy("token").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "g", "p"))), 1, PREFIX).alias("x"))
-    prefix = ranked.select("token", F.length("token").alias("len"), F.explode("x").alias("x")).select("token", "len", "x.g", "x.p")
-    a = prefix.select(F.col("token").alias("a"), F.col("len").alias("la"), "g", F.explode(F.array(F.col("p") - 1, F.col("p"), F.col("p") + 1)).alias("p"))
-    b = prefix.select(F.col("token").alias("b"), F.col("len").alias("lb"), "g", "p")
-    near = a.join(b, ["g", "p"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= 1))
-    return near.where(one_error(F.col("a"), F.col("b"))).select("a", "b").distinct()
+    pair = F.struct(F.array_join(F.array_sort(F.split("token", "")), "").alias("g"), F.lit(0).alias("p"))
+    rows = tokens.select("kind", "token", F.explode(F.when(F.length("token") == 2, F.concat(grams, F.array(pair))).otherwise(grams)).alias("x")).select("kind", "token", "x.g", "x.p")
+    freq = rows.groupBy("kind", "g").agg(F.count("*").alias("df"))
+    ranked = rows.join(freq, ["kind", "g"]).groupBy("kind", "token").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "g", "p"))), 1, PREFIX).alias("x"))
+    prefix = ranked.select("kind", "token", F.length("token").alias("len"), F.explode("x").alias("x")).select("kind", "token", "len", "x.g", "x.p")
+    a = prefix.select("kind", F.col("token").alias("a"), F.col("len").alias("la"), "g", F.explode(F.array(F.col("p") - 1, F.col("p"), F.col("p") + 1)).alias("p"))
+    b = prefix.select("kind", F.col("token").alias("b"), F.col("len").alias("lb"), "g", "p")
+    near = a.join(b, ["kind", "g", "p"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= 1))
+    return near.where(one_error(F.col("a"), F.col("b"))).select("kind", "a", "b").distinct()
 
 
 def _nicknames(spark) -> DataFrame:
@@ -258,106 +265,117 @@ def _nicknames(spark) -> DataFrame:
     return spark.createDataFrame(sorted({(fold(a), fold(b)) for a, b in rows}), "first string, full string")
 
 
-def _given_kin(firsts: DataFrame, nick: DataFrame) -> DataFrame:
-    """g_a, g_b, giv_sim, slip: given names that can stand for each other, or that differ by an error (slip), both ways round."""
-    plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("oe"), F.lit("o")), F.lit("ae"), F.lit("a")), F.lit("ue"), F.lit("u"))
-    p = firsts.withColumn("p", plain(F.col("first")))
-    spelt = p.select(F.col("first").alias("g_a"), "p").join(p.select(F.col("first").alias("g_b"), "p"), "p").where("g_a <> g_b").select("g_a", "g_b", F.lit(1.0).alias("giv_sim"), F.lit(False).alias("slip"))
-    known = nick.select(F.col("first").alias("g_a"), "full").join(nick.select(F.col("first").alias("g_b"), "full"), "full").where("g_a <> g_b").select("g_a", "g_b", F.lit(0.95).alias("giv_sim"), F.lit(False).alias("slip"))
-    known = known.join(firsts.select(F.col("first").alias("g_a")), "g_a", "left_semi").join(firsts.select(F.col("first").alias("g_b")), "g_b", "left_semi")
-    errors = similar_tokens(firsts.where("length(first) > 2").select(F.col("first").alias("token")))
-    sim = 1 - 1 / F.greatest(F.length("a"), F.length("b"))
-    slips = errors.select(F.col("a").alias("g_a"), F.col("b").alias("g_b"), sim.alias("giv_sim"), F.lit(True).alias("slip"))
-    every = spelt.unionByName(known).unionByName(slips).unionByName(slips.select(F.col("g_b").alias("g_a"), F.col("g_a").alias("g_b"), "giv_sim", "slip"))
-    best = every.groupBy("g_a", "g_b").agg(F.max(F.struct((~F.col("slip")).alias("known"), "giv_sim")).alias("m"))
-    return best.select("g_a", "g_b", F.col("m.giv_sim").alias("giv_sim"), (~F.col("m.known")).alias("slip"))
-
-
-def _soft(fam_sim: Column, giv_sim: Column) -> Column:
-    """Soft weighted similarity of two names: the parts' similarities, weighted by the parts' rarity."""
-    return (F.col("w_fam") * fam_sim + F.col("w_giv") * giv_sim) / (F.col("w_fam") + F.col("w_giv"))
-
-
-def link(names: DataFrame) -> DataFrame:
-    """name, who: each distinct name with an id of whom it names (a name can stand for more than one)."""
-    spark = names.sparkSession
-    distinct = names.where(F.trim(F.col("name")) != "").groupBy("name").agg(F.count("*").alias("n"))
-    read = checkpoint(read_forms(distinct.select("name")).join(distinct, "name"))
-
-    first = F.get("giv", F.lit(0))
-    full = (F.size("giv") > 0) & (F.length(first) > 1) & ~F.get("giv", F.lit(0)).endswith(".")
-    forms = read.withColumn("first", F.when(F.col("org") | (F.size("giv") == 0), F.lit("")).otherwise(F.get("giv", F.lit(0)))).withColumn("full", F.col("org") | F.coalesce(full, F.lit(False)))
-    nick = _nicknames(spark)
-    persons = checkpoint(forms.where("full").groupBy("fam", "first").agg(F.sum("n").alias("n"), F.bool_or("org").alias("org"), F.array_distinct(F.flatten(F.collect_set(F.transform(F.slice("giv", 2, 3), lambda g: F.substr(g, F.lit(1), F.lit(1)))))).alias("mid")))
-
-    total = persons.agg(F.sum("n").alias("all"))
+#: How two parts are related.
+SAME, KNOWN, SLIP, HALF = 0, 1, 2, 3
+
+
+def kin(persons: DataFrame, forms: DataFrame) -> DataFrame:
+    """kind ('f' families, 'g' given names), a, b, sim, how: parts of names that can stand for each other, both ways round."""
+    own = persons.select(F.explode(F.array(F.struct(F.lit("f").alias("kind"), F.col("fam").alias("token")), F.struct(F.lit("g").alias("kind"), F.col("first").alias("token")))).alias("x")).select("x.*")
+    tokens = stored(own.unionByName(forms.where("NOT full").select(F.lit("f").alias("kind"), F.col("fam").alias("token"))).distinct())
+    near = similar_tokens(tokens.where("length(token) > 1"))
+    two = F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    errors = near.select("kind", two.alias("x")).select("kind", "x.a", "x.b", (1 - 1 / F.greatest(F.length("x.a"), F.length("x.b"))).alias("sim"), F.lit(SLIP).alias("how"))
+    firsts = tokens.where("kind = 'g' AND token <> ''").select(F.col("token").alias("first"))
+    nick = F.broadcast(_nicknames(persons.sparkSession))  # a fixed list
+    plain = F.replace(F.replace(F.replace(F.col("first"), F.lit("oe"), F.lit("o")), F.lit("ae"), F.lit("a")), F.lit("ue"), F.lit("u"))
+    # spellings of umlauts and nicknames meet on what they stand for
+    stands = firsts.select("first", F.concat(F.lit("="), plain).alias("full"), F.lit(1.0).alias("sim")).unionByName(firsts.join(nick, "first").select("first", "full", F.lit(0.95).alias("sim")))
+    other = stands.select(F.col("first").alias("b"), "full")
+    known = stands.join(other, "full").where("first <> b").select(F.lit("g").alias("kind"), F.col("first").alias("a"), "b", "sim", F.lit(KNOWN).alias("how"))
+    half = forms.where("full AND NOT org AND size(halves) > 1").select(F.explode("halves").alias("a"), F.col("fam").alias("b")).distinct().where("a <> b")
+    half = half.select(F.lit("f").alias("kind"), "a", "b", F.lit(0.9).alias("sim"), F.lit(HALF).alias("how"))
+    same = tokens.select("kind", F.col("token").alias("a"), F.col("token").alias("b"), F.lit(1.0).alias("sim"), F.lit(SAME).alias("how"))
+    every = errors.unionByName(known).unionByName(same)
+    best = every.groupBy("kind", "a", "b").agg(F.min(F.struct("how", (-F.col("sim")).alias("d"))).alias("m")).select("kind", "a", "b", (-F.col("m.d")).alias("sim"), F.col("m.how").alias("how"))
+    return stored(best.unionByName(half), tokens)
+
+
+def weigh(forms: DataFrame) -> DataFrame:
+    """fam, first, n, org, mid, giv_fams, w_fam, w_giv: the full forms with the rarity of their parts."""
+    letters = F.transform(F.slice("giv", 2, F.greatest(F.size("giv"), F.lit(1))), lambda g: F.substr(g, F.lit(1), F.lit(1)))
+    persons = forms.where("full").groupBy("fam", "first").agg(F.sum("n").alias("n"), F.bool_or("org").alias("org"), F.array_distinct(F.flatten(F.collect_set(letters))).alias("mid"))
+    persons = stored(persons)
+    total = persons.agg(F.sum("n").alias("all"))  # one row
     fam_n = persons.groupBy("fam").agg(F.sum("n").alias("fam_n"))
-    giv_n = persons.where("first <> ''").groupBy("first").agg(F.sum("n").alias("giv_n"), F.countDistinct("fam").alias("giv_fams"))
-    weighed = persons.join(fam_n, "fam").join(giv_n, "first", "left").crossJoin(F.broadcast(total)).select(
+    giv_n = persons.where("first <> ''").groupBy("first").agg(F.sum("n").alias("giv_n"), F.count("*").alias("giv_fams"))
+    joined = persons.join(fam_n, "fam").join(giv_n, "first", "left").crossJoin(F.broadcast(total))
+    out = joined.select(
         "fam", "first", "n", "org", "mid", F.coalesce("giv_fams", F.lit(0)).alias("giv_fams"),
         F.log(F.lit(1.0) + F.col("all") / F.col("fam_n")).alias("w_fam"), F.when(F.col("first") == "", 0.0).otherwise(F.log(F.lit(1.0) + F.col("all") / F.coalesce("giv_n", F.lit(1)))).alias("w_giv"))
-    weighed = checkpoint(weighed)
-
-    near = checkpoint(similar_tokens(persons.select(F.col("fam").alias("token")).unionByName(forms.where("NOT full").select(F.col("fam").alias("token"))).where("length(token) >= 4").distinct()))
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    givens = checkpoint(_given_kin(persons.where("first <> ''").select("first").distinct(), nick))
-
-    low = weighed.select(*[F.col(c).alias(f"l_{c}") for c in weighed.columns])
-    cols = [*low.columns, *weighed.columns, "d_fam", "giv_sim"]
-    # the same family: given names by error or nickname; a similar family: the same given name or its nickname
-    same = low.join(givens, F.col("l_first") == F.col("g_a")).join(weighed, (F.col("l_fam") == F.col("fam")) & (F.col("g_b") == F.col("first")))
-    same = same.where("NOT org AND (NOT slip OR giv_fams < {0} OR l_giv_fams < {0})".format(OWN_NAME)).withColumn("d_fam", F.lit(0)).select(*cols)
-    alike = givens.where("NOT slip").select("g_a", "g_b", "giv_sim")
-    fams = low.join(both, F.col("l_fam") == F.col("a")).withColumn("d_fam", F.lit(1))
-    close = fams.withColumn("giv_sim", F.lit(1.0)).join(weighed, (F.col("b") == F.col("fam")) & (F.col("l_first") == F.col("first")) & (F.col("l_org") == F.col("org"))).select(*cols)
-    close = close.unionByName(fams.join(alike, F.col("l_first") == F.col("g_a")).join(weighed, (F.col("b") == F.col("fam")) & (F.col("g_b") == F.col("first"))).select(*cols))
-    # one half of a double name: the same given name beside the whole
-    double = forms.where("full AND NOT org AND size(halves) > 1").select(F.col("fam").alias("whole"), F.explode("halves").alias("half")).distinct().where("whole <> half")
-    part = low.join(double, F.col("l_fam") == F.col("half")).join(weighed, (F.col("whole") == F.col("fam")) & (F.col("l_first") == F.col("first"))).withColumns({"d_fam": F.lit(2), "giv_sim": F.lit(1.0)}).select(*cols)
-    giv_sim = F.col("giv_sim")
-    fam_sim = F.when(F.col("d_fam") == 0, 1.0).when(F.col("d_fam") == 2, 0.9).otherwise(1 - 1 / F.greatest(F.length("fam"), F.length("l_fam")))
+    return stored(out, persons)
+
+
+def edges(persons: DataFrame, related: DataFrame) -> DataFrame:
+    """fam, first, u_fam, u_first: each full form with the best-attested form that it may be a variant of.
+
+    One chain of joins: a form meets others over the relations of its given name and of its family, one of which must be
+    the same or known; the last join is on both parts, so no family brings together all that share it."""
+    giv = related.where("kind = 'g'").select(F.col("a").alias("l_first"), F.col("b").alias("first"), F.col("sim").alias("g_sim"), F.col("how").alias("g_how"))
+    fam = related.where("kind = 'f'").select(F.col("a").alias("l_fam"), F.col("b").alias("fam"), F.col("sim").alias("f_sim"), F.col("how").alias("f_how"))
+    low = persons.select(F.col("fam").alias("l_fam"), F.col("first").alias("l_first"), F.col("n").alias("l_n"), F.col("org").alias("l_org"), F.col("giv_fams").alias("l_fams"))
+    fits = F.expr(f"(f_how = {SAME} AND g_how IN ({KNOWN}, {SLIP})) OR (f_how = {SLIP} AND g_how IN ({SAME}, {KNOWN})) OR (f_how = {HALF} AND g_how = {SAME})")
+    met = low.join(giv, "l_first").join(fam, "l_fam").where(fits).join(persons.drop("mid"), ["fam", "first"]).where("org = l_org")
     # the weights of the better attested form: an error makes any token look rare
-    upward = (F.col("l_n") < F.col("n")) | ((F.col("l_n") == F.col("n")) & (F.struct("l_fam", "l_first") > F.struct("fam", "first")))
-    cand = same.unionByName(close).where(upward).unionByName(part)
-    edges = cand.where(_soft(fam_sim, giv_sim) >= SIMILAR).groupBy("l_fam", "l_first").agg(F.max(F.struct(_soft(fam_sim, giv_sim).alias("s"), F.col("n"), F.col("fam"), F.col("first"))).alias("up"))
-    up = edges.select(F.col("l_fam").alias("fam"), F.col("l_first").alias("first"), F.col("up.fam").alias("u_fam"), F.col("up.first").alias("u_first"))
-    root = persons.join(up, ["fam", "first"], "left").select("fam", "first", "mid", "n", F.coalesce("u_fam", "fam").alias("r_fam"), F.coalesce("u_first", "first").alias("r_first"))
-    root = checkpoint(root)
-    while True:  # pointers are followed to their end, two steps a round
-        step = root.select(F.col("fam").alias("r_fam"), F.col("first").alias("r_first"), F.col("r_fam").alias("x"), F.col("r_first").alias("y"))
-        nxt = checkpoint(root.join(step, ["r_fam", "r_first"]).select("fam", "first", "mid", "n", F.col("x").alias("r_fam"), F.col("y").alias("r_first"), ((F.col("x") != F.col("r_fam")) | (F.col("y") != F.col("r_first"))).alias("moved")))
-        root = nxt.drop("moved")
+    soft = (F.col("w_fam") * F.col("f_sim") + F.col("w_giv") * F.col("g_sim")) / (F.col("w_fam") + F.col("w_giv"))
+    upward = (F.col("f_how") == HALF) | (F.col("l_n") < F.col("n")) | ((F.col("l_n") == F.col("n")) & (F.struct("l_fam", "l_first") > F.struct("fam", "first")))
+    met = stored(met.where(upward).select("l_fam", "l_first", "l_n", "fam", "first", "n", (F.col("g_how") == SLIP).alias("slip"), F.least("l_fams", "giv_fams").alias("fams"), soft.alias("s")))
+    both = [F.least("l_first", "first").alias("x"), F.greatest("l_first", "first").alias("y")]
+    beside = met.where("slip").groupBy(*both).agg(F.countDistinct("fam").alias("c"))
+    slips = met.where("slip").withColumns({"x": both[0], "y": both[1]}).join(beside, ["x", "y"]).where(F.col("c") >= BESIDE * F.col("fams"))
+    every = met.where("NOT slip").unionByName(slips.select(*met.columns)).where(F.col("s") >= SIMILAR)
+    top = every.groupBy("l_fam", "l_first").agg(F.max(F.struct("s", "n", "fam", "first")).alias("up"))
+    return top.select(F.col("l_fam").alias("fam"), F.col("l_first").alias("first"), F.col("up.fam").alias("u_fam"), F.col("up.first").alias("u_first"))
+
+
+def roots(persons: DataFrame, up: DataFrame) -> DataFrame:
+    """fam, first, mid, n, r_fam, r_first: pointers followed to their end, twice as far each round."""
+    root = stored(persons.join(up, ["fam", "first"], "left").select("fam", "first", "mid", "n", F.coalesce("u_fam", "fam").alias("r_fam"), F.coalesce("u_first", "first").alias("r_first")))
+    while True:
+        # only what points elsewhere can move, and only over what points elsewhere itself
+        step = root.where("r_fam <> fam OR r_first <> first").select(F.col("fam").alias("r_fam"), F.col("first").alias("r_first"), F.col("r_fam").alias("x"), F.col("r_first").alias("y"))
+        nxt = stored(root.join(step, ["r_fam", "r_first"], "left").select("fam", "first", "mid", "n", F.coalesce("x", "r_fam").alias("r_fam"), F.coalesce("y", "r_first").alias("r_first"), F.col("x").isNotNull().alias("moved")), root)
+        root = nxt
         if nxt.where("moved").isEmpty():
-            break
+            return root
+
 
-    # forms with an initial, an abbreviation or no given name
-    short = forms.where("NOT full").select("fam", "giv").distinct().withColumn("first", F.coalesce(F.get("giv", F.lit(0)), F.lit("")))
+def short_forms(forms: DataFrame, root: DataFrame, related: DataFrame) -> DataFrame:
+    """fam, giv, r_fam, r_first: names with an initial or an abbreviation, each with the best-attested person it fits.
+
+    They meet on the family and the first letter of the given name."""
+    letter = lambda c: F.substr(c, F.lit(1), F.lit(1))
     who = root.groupBy("r_fam", "r_first", "fam").agg(F.array_distinct(F.flatten(F.collect_set("mid"))).alias("mid"), F.sum("n").alias("n"), F.collect_set("first").alias("firsts"))
-    fits = F.exists("firsts", lambda f: f.startswith(F.rtrim(F.col("s_first"), F.lit(".")))) & (F.col("s_first") != "")
-    mids = F.transform(F.slice("giv", 2, 3), lambda g: F.substr(g, F.lit(1), F.lit(1)))
+    who = who.withColumn("c", F.explode(F.array_distinct(F.transform("firsts", letter)))).where("c <> ''")
+    s = forms.where("NOT full AND size(giv) > 0").select("fam", "giv", F.get("giv", F.lit(0)).alias("s")).distinct().withColumn("c", letter(F.col("s")))
+    mids = F.transform(F.slice("giv", 2, F.greatest(F.size("giv"), F.lit(1))), letter)
+    fits = F.exists("firsts", lambda f: f.startswith(F.rtrim("s", F.lit("."))))
     mid_ok = (F.size("giv") < 2) | (F.size("mid") == 0) | (F.size(F.array_except(mids, F.col("mid"))) == 0)
-    s = short.select("fam", "giv", F.col("first").alias("s_first"))
-    exact = s.join(who, "fam").withColumn("d", F.lit(0))
-    typed = s.withColumnRenamed("fam", "s_fam").join(both, F.col("s_fam") == F.col("a")).join(who, F.col("b") == F.col("fam")).select(F.col("s_fam").alias("fam"), "giv", "s_first", "r_fam", "r_first", "mid", "n", "firsts", F.lit(1).alias("d"))
-    options = exact.select("fam", "giv", "s_first", "r_fam", "r_first", "mid", "n", "firsts", "d").unionByName(typed).where(fits & mid_ok)
-    options = options.groupBy("fam", "giv", "r_fam", "r_first").agg(F.min("d").alias("d"), F.sum("n").alias("n"))
-    best = options.groupBy("fam", "giv").agg(F.min("d").alias("best"))
-    options = checkpoint(options.join(best, ["fam", "giv"]).where("d = best").select("fam", "giv", "r_fam", "r_first", "n"))
-    return _assign(forms, root, options)
+    near = related.where(f"kind = 'f' AND how IN ({SAME}, {SLIP})").select(F.col("a").alias("s_fam"), F.col("b").alias("fam"), "how")
+    met = s.withColumnRenamed("fam", "s_fam").join(near, "s_fam").join(who, ["fam", "c"]).where(fits & mid_ok)
+    found = met.groupBy("s_fam", "giv", "r_fam", "r_first").agg((-F.min("how")).alias("d"), F.sum("n").alias("n"))
+    top = found.groupBy("s_fam", "giv").agg(F.max(F.struct("d", "n", "r_fam", "r_first")).alias("t"))
+    return top.select(F.col("s_fam").alias("fam"), "giv", "t.r_fam", "t.r_first")
 
 
-def _assign(forms: DataFrame, root: DataFrame, options: DataFrame) -> DataFrame:
+def link(names: DataFrame) -> DataFrame:
+    """name, who: each distinct name with an id of whom it names."""
+    forms = read_forms(names.where(F.trim(F.col("name")) != "").groupBy("name").agg(F.count("*").alias("n")))
+    persons = weigh(forms)
+    related = kin(persons, forms)
+    root = roots(persons, edges(persons, related))
     who = F.concat_ws("|", "r_fam", "r_first")
-    full = forms.where("full").join(root, ["fam", "first"]).select("name", "org", "fam", "giv", who.alias("who"))
-    short = forms.where("NOT full").select("name", "fam", "giv")
-    top = options.groupBy("fam", "giv").agg(F.max(F.struct("n", "r_fam", "r_first")).alias("t")).select("fam", "giv", "t.r_fam", "t.r_first")
+    full = forms.where("full").join(root.select("fam", "first", who.alias("who")), ["fam", "first"]).select("name", "fam", "giv", "who")
     alone = F.concat_ws("|", "fam", F.array_join("giv", " "), F.lit("?"))
-    some = short.join(top, ["fam", "giv"], "left").select("name", F.lit(False).alias("org"), "fam", "giv", F.when(F.col("r_fam").isNull(), alone).otherwise(who).alias("who"))
+    short = forms.where("NOT full").select("name", "fam", "giv").join(short_forms(forms, root, related).select("fam", "giv", who.alias("who")), ["fam", "giv"], "left")
+    both = full.unionByName(short.select("name", "fam", "giv", F.coalesce("who", alone).alias("who")))
     # initials of an organisation's words with its place
     words = F.split("r_fam", " ")
-    known = root.where("r_first = '' AND r_fam LIKE '% % %'").select(F.get(words, F.lit(0)).alias("fam"), F.array_join(F.transform(F.slice(words, 2, 20), lambda w: F.substr(w, F.lit(1), F.lit(1))), "").alias("letters"), who.alias("org_who")).groupBy("fam", "letters").agg(F.min("org_who").alias("org_who"))
-    both = full.unionByName(some).withColumn("letters", F.array_join("giv", ""))
-    return both.join(known, ["fam", "letters"], "left").select("name", F.coalesce("org_who", "who").alias("who"))
+    letters = F.array_join(F.transform(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda w: F.substr(w, F.lit(1), F.lit(1))), "")
+    known = root.where("r_first = '' AND r_fam LIKE '% % %'").select(F.get(words, F.lit(0)).alias("fam"), letters.alias("letters"), who.alias("org_who")).groupBy("fam", "letters").agg(F.min("org_who").alias("org_who"))
+    out = stored(both.withColumn("letters", F.array_join("giv", "")).join(known, ["fam", "letters"], "left").select("name", F.coalesce("org_who", "who").alias("who")), forms, related, root)
+    free(persons)
+    return out
 
 
 def author_names(entries: DataFrame, enriched: DataFrame) -> DataFrame:
@@ -368,4 +386,4 @@ def author_names(entries: DataFrame, enriched: DataFrame) -> DataFrame:
 def pairs(linked: DataFrame) -> DataFrame:
     """name_a, name_b: each pair of strings of one person or organisation."""
     a, b = linked.select(F.col("name").alias("name_a"), "who"), linked.select(F.col("name").alias("name_b"), "who")
-    return a.join(b, "who").where("name_a < name_b").select("name_a", "name_b").distinct()
+    return a.join(b, "who").where("name_a < name_b").select("name_a", "name_b")
