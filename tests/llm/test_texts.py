@@ -44,6 +44,19 @@ def test_leaks(spark):
     assert leaked(spark, texts, []) == set() and leaked(spark, []) == set()
 
 
+def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
+    body = ITEM.split("? ", 1)[1].split()
+    near = [" ".join(w if i % 5 else w + "x" for i, w in enumerate(body)), " ".join(body[:8] + ["other", "words", "stand", "here"])]
+    items = [*ITEMS, (7, "Short one"), (8, "Which one fits best? " + " ".join(body[4:16]) + " and then an end of its own with many a word."), *((20 + i, f"Which one fits best? Item {i} about {'abcdefgh'[i] * 5} and {'stuvwxyz'[i] * 6} stays alone.") for i in range(8))]
+    texts = ["before " + ITEM + " after", near[0], near[1], "Which one fits best? Yes.", "a short one here", ITEMS[3][1], "Which one fits best? " + " ".join(body[3:15]), "Item 3 about ddddd and vvvvvv stays alone."]
+    seen = []
+    for block, chars in ((5_000, 10**6), (2, 10**6), (1, 10**6), (5_000, 200), (5_000, 1)):
+        monkeypatch.setattr(leakage, "BLOCK", block)
+        monkeypatch.setattr(leakage, "BLOCK_CHARS", chars)
+        seen.append(leaked(spark, texts, items))
+    assert seen[0] and all(s == seen[0] for s in seen) and not any(d == 3 for d, _ in seen[0])
+
+
 def test_wu_manber_finds_every_occurrence():
     import random
 

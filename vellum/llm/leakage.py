@@ -7,27 +7,34 @@ patterns, direct comparison confirms them. Items with enough confirmed windows n
 document there; a passage counts if ten words (20 characters) run on exactly, or if the aligned score says
 so in spite of a few changed words and no other item explains the same place far better.
 
-Items are a stated query set: they are taken in blocks of BLOCK, and each block is searched in all documents
-in one scan without a shuffle. The opening sentence that several items share is a stock question and is left out.
+Items are a stated query set: they are taken in blocks bounded in items and characters, and each block is searched
+in all documents in one scan without a shuffle. What depends on several items is settled over all of them: the opening
+sentence that several items share, a stock question, is counted before they are cut into blocks and left out, and a
+changed passage is given up for another item that explains its place far better after all blocks were searched.
+So results don't depend on how the items fall into blocks.
 Defined cases: NULL and empty texts leak nothing and are not leaked; an item shorter than ten words counts if all of
-it is repeated; repeated items and documents each give their rows; whole texts are searched; extra columns are ignored.
+it is repeated; repeated items and documents each give their rows (rows of one item_id are no rivals of each other); whole
+texts are searched; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from bisect import bisect_right
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from functools import reduce
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import spread
+from .common import spread, stored
 
-BLOCK = 5_000
+#: Most items of a block, and most characters, which bounds what is sent to the tasks and kept by each; a longer item is a block.
+BLOCK, BLOCK_CHARS = 5_000, 8_000_000
 WORDS, CHARS = 10, 20
 #: Words of a pattern, and characters in scripts without spaces.
 WINDOW_WORDS, WINDOW_CHARS = 3, 6
@@ -56,11 +63,27 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+def _openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        opening, rest = [], []
+        for t in b.column(1).to_pylist():
+            m = _OPENING.match(t) if t else None
+            m = m if m and m.end() < len(t.rstrip()) else None
+            opening.append(m[0].strip() if m else None)
+            rest.append(t[m.end() :] if m else None)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(opening, pa.string()), pa.array(rest, pa.string())], ["item_id", "text", "opening", "rest"])
+
+
+def without_stock(eval_items: DataFrame) -> DataFrame:
+    """item_id, text of all items, without the opening sentence where at least STOCK_ITEMS items have it."""
+    rows = eval_items.select("item_id", "text").mapInArrow(_openings, "item_id bigint, text string, opening string, rest string")
+    stock = rows.where("opening IS NOT NULL").groupBy("opening").agg(F.countDistinct("item_id").alias("n")).where(F.col("n") >= STOCK_ITEMS).select("opening", F.lit(True).alias("stock"))
+    return rows.join(stock, "opening", "left").select("item_id", F.when(F.col("stock"), F.col("rest")).otherwise(F.col("text")).alias("text"))
+
+
 def prepare(items: list[tuple[int, str | None]]) -> list[tuple[int, list[str]]]:
-    """Words of each item, without stock questions."""
-    opening = {i: m[0].strip() for i, t in items if t and (m := _OPENING.match(t)) and m.end() < len(t.rstrip())}
-    stock = {s for s, n in Counter(opening.values()).items() if n >= STOCK_ITEMS}
-    return [(i, ws) for i, t in items if (ws := tokens(t[t.index(opening[i]) + len(opening[i]) :] if t and opening.get(i) in stock else t))]
+    """Words of each item that has any."""
+    return [(i, ws) for i, t in items if (ws := tokens(t))]
 
 
 class WuManber:
@@ -93,19 +116,40 @@ class WuManber:
             pos += 1
 
 
-def windows(items: list[tuple[int, list[str]]]) -> dict[str, list[tuple[int, int]]]:
-    """Patterns of all items: every window of words, lengthened to the least length where the item allows."""
-    out: dict[str, list[tuple[int, int]]] = defaultdict(list)
+def windows(items: list[tuple[int, list[str]]]) -> list[dict[str, list[tuple[int, int]]]]:
+    """Patterns of all items: every window of words, lengthened to the least length where the item allows.
+
+    Three sets, as the shortest pattern of a set bounds its shifts: windows of words, windows with a character of Han or
+    Kana, and short ones."""
+    out: list[dict[str, list[tuple[int, int]]]] = [defaultdict(list), defaultdict(list), defaultdict(list)]
     for k, (_, ws) in enumerate(items):
         for q in range(len(ws)):
             n = WINDOW_CHARS if _CJK.match(ws[q]) else WINDOW_WORDS
             while q + n < len(ws) and sum(map(len, ws[q : q + n])) + n + 1 < LEAST:
                 n += 1
             if q + n <= len(ws) or q == 0:
-                out[" " + " ".join(ws[q : q + n]) + " "].append((k, q))
+                p = " " + " ".join(ws[q : q + n]) + " "
+                out[1 if _CJK.search(p) else 2 if len(p) < LEAST else 0][p].append((k, q))
     return out
 
 
+class Matcher:
+    """Wu-Manber searches for the windows of a block's items."""
+
+    def __init__(self, items: list[tuple[int, list[str]]]):
+        words, han, short = windows(items)
+        self.words = [WuManber(p) for p in (words, short) if p]
+        self.han = [WuManber(han)] if han else []
+
+    def search(self, s: str) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """Start of each occurrence and what the pattern stands for."""
+        for m in self.words:
+            yield from m.search(s)
+        if self.han and _CJK.search(s):
+            for m in self.han:
+                yield from m.search(s)
+
+
 def align(a: list[str], b: list[str], change: float) -> tuple[float, int, int, int]:
     """Best local alignment of two word lists: score, longest exact run, and its place in a."""
     width = len(b) + 1
@@ -145,8 +189,8 @@ def _regions(hits: list[tuple[int, int]], length: int, least: int) -> Iterator[t
             lo = k
 
 
-def leaks(matcher: WuManber, items: list[tuple[int, list[str]]], text: str | None) -> list[int]:
-    """Ids of the items that a text leaks."""
+def leaks(matcher: Matcher, items: list[tuple[int, list[str]]], text: str | None) -> list[tuple[int, float, bool, int, int]]:
+    """item_id, score, whether a passage is exact, and the place, of the items that a text may leak."""
     ws = tokens(text)
     s = " " + " ".join(ws) + " "
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -172,37 +216,56 @@ def leaks(matcher: WuManber, items: list[tuple[int, list[str]]], text: str | Non
             best = max(best, (got[0], got[1], lo + got[2], lo + got[3]))
         score, run, lo, hi = best
         if run >= need or score >= (need if cjk else ALIGNED * need):
-            found.append((k, score, run >= need, lo, hi))
-    out = []
-    for k, score, exact, lo, hi in found:
-        rival = any(s > 1.5 * score and min(hi, h) - max(lo, l) > 0.5 * (hi - lo) for j, s, _, l, h in found if j != k)
-        if exact or not rival:
-            out.append(items[k][0])
-    return out
+            found.append((items[k][0], score, run >= need, lo, hi))
+    return found
+
+
+_FOUND = "doc_id bigint, same bigint, item_id bigint, score double, exact boolean, lo int, hi int"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int32(), pa.int32())
 
 
 def _scanner(block: list[tuple[int, str | None]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = prepare(block)
-        matcher = WuManber(windows(items)) if items else None
+        matcher = Matcher(items)
         for batch in batches:
-            docs, found = [], []
-            if matcher:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    got = leaks(matcher, items, text)
-                    docs += [doc] * len(got)
-                    found += got
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], ["doc_id", "item_id"])
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if got := leaks(matcher, items, text):
+                    same = xxhash.xxh64_intdigest(text) - (1 << 63)
+                    rows += [(doc, same, *g) for g in got]
+            cols = zip(*rows, strict=True) if rows else [()] * len(_KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], [c.split()[0] for c in _FOUND.split(", ")])
 
     return run
 
 
+def _blocks(rows: Iterable) -> Iterator[list[tuple[int, str | None]]]:
+    block, size = [], 0
+    for item_id, text in rows:
+        n = len(text or "")
+        if block and (len(block) >= BLOCK or size + n > BLOCK_CHARS):
+            yield block
+            block, size = [], 0
+        block.append((item_id, text))
+        size += n
+    if block:
+        yield block
+
+
+def without_rivals(found: DataFrame) -> DataFrame:
+    """doc_id, item_id of what was found, less changed passages at a place that another item explains far better."""
+    other = found.select("doc_id", "same", F.col("item_id").alias("r_item"), F.col("score").alias("r_score"), F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"))
+    loose = found.where("NOT exact").alias("f")
+    shared = F.least("hi", "r_hi") - F.greatest("lo", "r_lo")
+    rival = (F.col("f.doc_id") == F.col("o.doc_id")) & (F.col("f.same") == F.col("o.same")) & (F.col("r_item") != F.col("item_id")) & (F.col("r_score") > 1.5 * F.col("score")) & (shared > 0.5 * (F.col("hi") - F.col("lo")))
+    kept = loose.join(other.alias("o"), rival, "left_anti").select("doc_id", "item_id")
+    return found.where("exact").select("doc_id", "item_id").unionByName(kept)
+
+
 def find(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """doc_id, item_id: each document with the items it leaks."""
     docs = spread(documents.select("doc_id", "text"))
-    rows: Iterable = eval_items.select("item_id", "text").toLocalIterator()
-    rows, out = iter(rows), None
-    while (block := [(r[0], r[1]) for r in islice(rows, BLOCK)]) or out is None:
-        got = docs.mapInArrow(_scanner(block), "doc_id bigint, item_id bigint")
-        out = got if out is None else out.unionByName(got)
-    return out
+    blocks = _blocks((r[0], r[1]) for r in without_stock(eval_items).toLocalIterator())
+    parts = [docs.mapInArrow(_scanner(b), _FOUND) for b in blocks] or [documents.sparkSession.createDataFrame([], _FOUND)]
+    return without_rivals(stored(reduce(DataFrame.unionByName, parts)))
