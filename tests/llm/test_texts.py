@@ -96,6 +96,45 @@ def test_sentences(want):
     assert cut(text) == want
 
 
+@pytest.mark.parametrize("frame, inner", [
+    ("He said “{}” and left. Then more came.", "It was late. "), ('He said "{}" and left. Then more came.', "It was late. "), ("Sie schrieb: „{}“ und ging. Dann kam mehr.", "Es war spät. "), ("Er schrieb: »{}« und ging. Dann kam mehr.", "Es war spät. "),
+    ("Elle écrit : « {} » puis elle part. Rien ne change.", "Rien ne reste. "), ("「{}」と彼女は言った。次に進もう。", "もう遅い。"), ("“{}”她说，然后走了。数据不够。", "太晚了。"), ("A note (see below. {}) stands here. Then more came.", "It was late. "),
+])
+@pytest.mark.parametrize("n", [1, 2, 5, 6, 7, 40, 100])
+def test_a_quotation_is_never_torn(frame, inner, n):
+    text = frame.format((inner * n).strip())
+    ends = sentences.sentence_ends(text)
+    assert len(ends) == 2 and ends[-1] == len(text)
+
+
+def test_marks_that_are_not_closed_bind_nothing():
+    many = "One more came. " * 30
+    assert len(cut('A 5" pipe broke. ' + many)) == 31
+    assert len(cut("It broke :( again. " + many + "It holds :) now.")) == 32
+    assert len(cut("“It was late. " + many)) == 31
+    assert len(cut('He said "so. ' + many + 'He said "yes." Then more came.')) == 33
+    assert cut("He said no. The cat left. See no. 3 of it.") == ["He said no.", "The cat left.", "See no. 3 of it."]
+
+
+def test_spans_against_all_starts():
+    """The running best gives the same total as scoring every pair of places."""
+    import random
+
+    random.seed(5)
+    bits = ["It was. ", "a. ", "1. ", "“No. Yes.” ", "(x. y.) ", "... ", "! ", "Dr. X. ", '"Go. On." ', "„Ja. Nein.“ "]
+    for _ in range(40):
+        text = "".join(random.choices(bits, k=25)).strip()
+        ends = sentences.piece_ends(text)
+        at, starts, score, within, cost = sentences._places(text)
+        span = lambda i, j: score[j] + sentences._fits(text, starts[i], at[j]) - (0.0 if within[i] == within[j] else cost[i] + cost[j])
+        best = [0.0]
+        for j in range(1, len(at)):
+            best.append(max(best[i] + span(i, j) for i in range(j)))
+        path = [0, *(at.index(e, 1) for e in ends)]
+        assert abs(sum(span(i, j) for i, j in zip(path, path[1:], strict=False)) - best[-1]) < 1e-9 and ends[-1] == len(text)
+        assert not any(a < e < b for e in ends for a, b in sentences._quotations(text)[0])
+
+
 def test_sentence_cases(spark):
     long = "One two three. " * 20_000
     got = sentences.split(docs(spark, [None, " \n\t", "x", "no end", long, '"never closed. Not here. No']))

@@ -2,12 +2,17 @@
 
 A text is cut at blank lines. In each piece, places where a sentence could end are found, and dynamic programming
 chooses the sequence of spans with the greatest total score. A span is scored as a whole: how it closes (kind
-of mark, abbreviation or number before it), how the next one opens, whether quotations and brackets that
-it opens are closed within it, whether a quotation at its start is still being commented on, and its length.
+of mark, abbreviation or number before it), how the next one opens (case, script, opening word), whether it cuts a
+quotation or bracket, and its length.
+
+A quotation or bracket that is closed within the piece weighs by the ends it holds, more than all of them together could
+bring, so it is never torn, however long. Marks that are never closed, emoticons and list numbers bind nothing.
+Spans of any length compete: from SHORT characters on, a span's length tells nothing beyond its number, so the best start
+of each state of quotation is kept while going along, and only starts nearer than that are scored one by one. That
+is exact and takes time in proportion to the text.
 
 Defined cases: NULL and blank texts have no sentence; a piece without any end mark is one sentence; texts are
 handled whole, in code points; repeated texts and doc_ids each give their rows; extra columns are ignored.
-A span may hold at most SPAN possible ends that it doesn't use; beyond, the best of the later ones is taken.
 """
 
 from __future__ import annotations
@@ -20,7 +25,10 @@ from pyspark.sql import DataFrame
 
 from .common import spread
 
-SPAN = 64
+#: Characters from which the length of a span tells nothing more.
+SHORT = 12
+#: Weight of cutting a quotation or bracket, and what each possible end in it adds; the most that an end can score is 7.
+CUT, PER_END = 10.0, 4.0
 
 #: Abbreviations that a name, number or further word follows. Fixed values.
 BEFORE_MORE = frozenset(
@@ -30,6 +38,9 @@ BEFORE_MORE = frozenset(
 )
 #: Abbreviations that may also close a sentence. Fixed values.
 MAY_CLOSE = frozenset("etc usw др пр al inc ltd co corp jr ff f p.m a.m uu ee.uu u.k u.s d.c u.s.a e.u ph.d b.c a.d".split())
+#: Abbreviations that are also words, and words that open a sentence after those. Fixed values.
+ALSO_WORDS = frozenset("no art col gen es mm st".split())
+OPENING = frozenset("The A An This That These Those It He She We They I In On But And However Der Die Das Ein Eine Es Er Sie Wir Le La Les Un Une Il Elle Nous El Los Las Una Ella".split())
 #: German months, which a day number with a full stop goes before. Fixed values.
 MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 
@@ -43,33 +54,53 @@ _BLANK = regex.compile(r"\r?\n[^\S\n]*\r?\n\s*|[ \u0085\f]\s*")
 _THAI_GAP = regex.compile(r"(?<=\p{Thai}\S{0,40})\s+(?=\S)|\s+(?=\p{Thai})")
 _WORD = regex.compile(rf"[^\s\"'“”«»(\[„‘’「」『』（）。！？!?、，{CJK}]*$")
 _LAST_PART = regex.compile(r"(?<=\p{L}{3}[.!?])(?=\p{Lu})")
-_PAIRS = {"(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "【": "】", "«": "»", "《": "》", "„": "“", "“": "”"}
+_PAIRS = {"(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "【": "】", "«": "»", "《": "》", "„": "“”", "“": "”"}
 _QUOTES = regex.compile("[" + regex.escape("".join({*_PAIRS, *_PAIRS.values()}) + '"') + "]")
 _LOWER_OPENER = regex.compile(r"doi:|https?:|www\.|[a-z]\p{Lu}|[#@]\w")
+_THAI = regex.compile(r"\p{Thai}")
 _CASELESS = regex.compile(rf"[{CJK}\p{{Thai}}\p{{Arabic}}\p{{Devanagari}}\p{{Hebrew}}]")
 #: Two sentences whose space was lost: a word in lower case before the mark, a capitalised or quoted one after it.
 _RUN_ON = regex.compile(r"(?:\p{L}{3,}|[\p{Nd}%)\]])\|[\"'“„«(]*(?:\p{Lu}\p{Ll}|\p{Lu} |\p{Lu}')")
+_FIRST = regex.compile(r"\p{L}*")
 _TIGHT = regex.compile(rf"[{CJK}“「『（《#\p{{Lu}}\d\"]")
 
 
-def _depths(text: str) -> tuple[list[int], list[int], dict[int, int]]:
-    """Positions of quotation marks and brackets, what is open after each (0: nothing), and where each one that closes was opened."""
-    where, state, stack, opened = [], [], [], {}
+def _opens(text: str, i: int) -> bool | None:
+    """Whether a mark that can stand on either side opens by what is around it; None if both would do."""
+    before, after = text[i - 1 : i], text[i + 1 : i + 2]
+    left, right = not before or before.isspace() or before in _PAIRS or before in "-–—", bool(after) and not after.isspace() and after not in ".,;:!?)]"
+    return left if left == right else None
+
+
+def _quotations(text: str) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """(start, end) of outermost quotations and brackets that are closed, in order, and where each one that closes was opened."""
+    stack: list[tuple[str, int]] = []
+    opened: dict[int, int] = {}
+    outer: list[tuple[int, int]] = []
     for m in _QUOTES.finditer(text):
-        c = m[0]
-        if stack and stack[-1][0] == c:
-            opened[m.end()] = stack.pop()[1]
-        elif c == '"':
-            stack.append((c, m.start()))
+        c, i = m[0], m.start()
+        if c in "()" and text[max(0, i - 2) : i].rstrip("-'")[-1:] in (":", ";"):
+            continue  # an emoticon
+        if c in '"«»':
+            side = _opens(text, i)
+            closer = "»" if c == "«" else "«" if c == "»" else c
+            closes = [k for k, (want, _) in enumerate(stack) if c in want]
+            opens = side if side is not None else (not closes if c != "»" else False)
+            if opens:
+                if c == '"':  # one that was not closed before the next opens binds nothing
+                    stack = [x for x in stack if x[0] != '"']
+                stack.append((closer, i))
+                continue
+        want = next((k for k in range(len(stack) - 1, -1, -1) if c in stack[k][0]), None)
+        if want is not None:
+            opened[i + 1] = stack[want][1]
+            while outer and outer[-1][0] > stack[want][1]:
+                outer.pop()
+            outer.append((stack[want][1], i + 1))
+            del stack[want:]
         elif c in _PAIRS:
-            stack.append((_PAIRS[c], m.start()))
-        elif any(c == k for k, _ in stack):
-            while (top := stack.pop())[0] != c:
-                pass
-            opened[m.end()] = top[1]
-        where.append(m.end())
-        state.append(hash("".join(k for k, _ in stack)) if stack else 0)
-    return where, state, opened
+            stack.append((_PAIRS[c], i))
+    return outer, opened
 
 
 def _close_open(text: str, m: regex.Match) -> float | None:
@@ -137,7 +168,7 @@ def _close_open(text: str, m: regex.Match) -> float | None:
         elif bare in MAY_CLOSE:
             closes = 0.5
         elif bare in BEFORE_MORE:
-            closes = -8.0
+            closes = 1.0 if word in ALSO_WORDS and _FIRST.match(after)[0] in OPENING else -8.0
         elif len(word) == 1 and word.isalpha():
             closes = -8.0 if not _CASELESS.match(word) else -4.0
         elif regex.fullmatch(r"(?:\p{L}\.)+\p{L}|\p{L}\.-\p{L}", word):
@@ -154,55 +185,67 @@ def _commented(text: str, start: int, nxt: str) -> bool:
 
 
 def _fits(text: str, start: int, end: int) -> float:
-    """The length term of a span, known only from both its ends."""
-    if not any(c.isalpha() for c in text[start : min(end, start + 12)]):
+    """The length term of a span: one without a letter is none, and very short ones are rare. Past SHORT characters it depends on the start only."""
+    if not any(c.isalpha() for c in text[start : min(end, start + SHORT)]):
         return -8.0
     return -1.0 if end - start < 4 else 0.0
 
 
-def piece_ends(text: str) -> list[int]:
-    """Ends of the sentences of a piece without blank lines or outer spaces."""
+def _places(text: str) -> tuple[list[int], list[int], list[float], list[int], list[float]] | None:
+    """Where a sentence of a piece may end, where the next one starts, what the end scores, the quotation it lies in (-1: none) and what
+    cutting that costs; the piece's start and end are the first and last place. None without a place in between."""
     n = len(text)
     cands: dict[int, tuple[float, int]] = {}
-    sure = set()
-    where, state, opened = _depths(text)
+    outer, opened = _quotations(text)
     for m in _END.finditer(text):
         if (s := _close_open(text, m)) is not None:
             end = m.end("close")
             if m["close"] and end in opened and _commented(text, opened[end], text[m.end() : m.end() + 1]):
                 s -= 12.0
-            if s <= -5.0:
-                continue
-            cands[end] = (s, m.end())
-            if s >= 5.0 and not m["close"] and text[max(0, m.start() - 2) : m.start()].isalpha():
-                sure.add(end)
-    if regex.search(r"\p{Thai}", text):
+            if s > -5.0:
+                cands[end] = (s, m.end())
+    if _THAI.search(text):
         for m in _THAI_GAP.finditer(text):
             cands[m.start()] = (6.0, m.end())
     if not cands:
-        return [n]
+        return None
     ends = sorted(cands)
     at = [0, *ends, n]
-    depth, k, now = [], 0, 0
-    for p in at:
-        while k < len(where) and where[k] <= p:
-            now = state[k]
-            k += 1
-        depth.append(now)
     score = [0.0, *(cands[e][0] for e in ends), 0.0]
     starts = [0, *(cands[e][1] for e in ends), n]
-    best, back = [0.0] + [float("-inf")] * (len(at) - 1), [0] * len(at)
+    within, inner, q = [], [0] * len(outer), 0
+    for p in at:
+        while q < len(outer) and outer[q][1] <= p:
+            q += 1
+        within.append(q if q < len(outer) and outer[q][0] < p else -1)
+        if within[-1] >= 0:
+            inner[q] += 1
+    return at, starts, score, within, [CUT + PER_END * inner[w] if w >= 0 else 0.0 for w in within]
+
+
+def piece_ends(text: str) -> list[int]:
+    """Ends of the sentences of a piece without blank lines or outer spaces."""
+    places = _places(text)
+    if places is None:
+        return [len(text)]
+    at, starts, score, within, cost = places
+    best, back = [0.0] + [0.0] * (len(at) - 1), [0] * len(at)
+    # best starts so far that lie SHORT characters back: of the quotation one is in, and of all less the cost of cutting theirs
+    same, free, k = {}, (float("-inf"), 0), 0
     for j in range(1, len(at)):
-        for i in range(j - 1, max(-1, j - 1 - SPAN), -1):
-            if best[i] == float("-inf"):
-                continue
-            total = best[i] + score[j] + _fits(text, starts[i], at[j]) - (10.0 if depth[i] != depth[j] else 0.0)
-            if total > best[j]:
-                best[j], back[j] = total, i
-            if i and depth[i] == 0 and at[i] in sure:
-                break  # a sure end between balanced spans: no span that runs over it can score better
-        if best[j] == float("-inf") and j == len(at) - 1:
-            back[j] = max(i for i in range(j) if best[i] > float("-inf"))
+        while k < j and starts[k] + SHORT <= at[j]:
+            value = best[k] + _fits(text, starts[k], starts[k] + SHORT)
+            if value > same.get(within[k], (float("-inf"), 0))[0]:
+                same[within[k]] = (value, k)
+            free = max(free, (value - cost[k], k))
+            k += 1
+        top, i = same.get(within[j], (float("-inf"), 0))
+        top, i = max((top, i), (free[0] - cost[j], free[1]))
+        for near in range(k, j):
+            value = best[near] + _fits(text, starts[near], at[j]) - (0.0 if within[near] == within[j] else cost[near] + cost[j])
+            if value > top:
+                top, i = value, near
+        best[j], back[j] = top + score[j], i
     out, j = [], len(at) - 1
     while j > 0:
         out.append(at[j])
