@@ -42,6 +42,8 @@ WINDOW_WORDS, WINDOW_CHARS = 3, 6
 LEAST, SHIFT_BLOCK = 12, 4
 #: Items that must share an opening sentence for it to be a stock question.
 STOCK_ITEMS = 3
+#: Words that may be put in or left out before the first and after the last confirmed window of a passage.
+SLACK = 10
 #: Score of an alignment with changes, per unit of the least passage.
 ALIGNED = 0.8
 
@@ -150,15 +152,16 @@ class Matcher:
                 yield from m.search(s)
 
 
-def align(a: list[str], b: list[str], change: float) -> tuple[float, int, int, int]:
-    """Best local alignment of two word lists: score, longest exact run, and its place in a."""
+def align(a: list[str], b: list[str], change: float, least: int, most: int) -> tuple[float, int, int, int]:
+    """Best local alignment of two word lists between the diagonals least and most (place in a less place in b): score, longest
+    exact run, and its place in a."""
     width = len(b) + 1
     prev, pstart, prun = [0.0] * width, [0] * width, [0] * width
     best, run, where = 0.0, 0, (0, 0)
     gap = change + 0.2
     for i, x in enumerate(a):
         cur, start, runs = [0.0] * width, [i + 1] * width, [0] * width
-        for j in range(1, width):
+        for j in range(max(1, i - most + 1), min(width, i - least + 2)):
             if x == b[j - 1]:
                 s, st = prev[j - 1] + 1.0, pstart[j - 1] if prev[j - 1] > 0 else i
                 runs[j] = r = prun[j - 1] + 1
@@ -178,14 +181,16 @@ def align(a: list[str], b: list[str], change: float) -> tuple[float, int, int, i
     return best, run, *where
 
 
-def _regions(hits: list[tuple[int, int]], length: int, least: int) -> Iterator[tuple[int, int]]:
-    """Stretches of a document where an item could lie, from the places of its confirmed windows."""
+def _regions(hits: list[tuple[int, int]], length: int, least: int) -> Iterator[tuple[int, int, int, int]]:
+    """Stretches of a document where an item could lie, from the places of its confirmed windows, and the first and last diagonal
+    there: those of the windows with some words that were put in or left out."""
     starts = sorted(p - q for p, q in hits)
     slack, lo = length + 10, 0
     for k in range(1, len(starts) + 1):
         if k == len(starts) or starts[k] - starts[k - 1] > slack:
             if k - lo >= least:
-                yield max(0, starts[lo] - 5), starts[k - 1] + length + 5
+                begin = max(0, starts[lo] - SLACK)
+                yield begin, starts[k - 1] + length + SLACK, starts[lo] - SLACK - begin, starts[k - 1] + SLACK - begin
             lo = k
 
 
@@ -211,8 +216,8 @@ def leaks(matcher: Matcher, items: list[tuple[int, list[str]]], text: str | None
         need = min(CHARS if cjk else WORDS, len(item))
         window = WINDOW_CHARS if cjk else WINDOW_WORDS
         best = (0.0, 0, 0, 0)
-        for lo, hi in _regions(places, len(item), 1 if need <= 2 * window else 3 if cjk else 2):
-            got = align(ws[lo:hi], item, 2.0 if cjk else 0.6)
+        for lo, hi, first, last in _regions(places, len(item), 1 if need <= 2 * window else 3 if cjk else 2):
+            got = align(ws[lo:hi], item, 2.0 if cjk else 0.6, first, last)
             best = max(best, (got[0], got[1], lo + got[2], lo + got[3]))
         score, run, lo, hi = best
         if run >= need or score >= (need if cjk else ALIGNED * need):

@@ -61,6 +61,9 @@ _THAI = regex.compile(r"\p{Thai}")
 _CASELESS = regex.compile(rf"[{CJK}\p{{Thai}}\p{{Arabic}}\p{{Devanagari}}\p{{Hebrew}}]")
 #: Two sentences whose space was lost: a word in lower case before the mark, a capitalised or quoted one after it.
 _RUN_ON = regex.compile(r"(?:\p{L}{3,}|[\p{Nd}%)\]])\|[\"'“„«(]*(?:\p{Lu}\p{Ll}|\p{Lu} |\p{Lu}')")
+_DOTTED = regex.compile(r"(?:\p{L}\.)+\p{L}|\p{L}\.-\p{L}")
+_DAY = regex.compile(r"\d{1,2}")
+_HAN_KANA = regex.compile(rf"[{CJK}]")
 _FIRST = regex.compile(r"\p{L}*")
 _TIGHT = regex.compile(rf"[{CJK}“「『（《#\p{{Lu}}\d\"]")
 
@@ -117,7 +120,7 @@ def _close_open(text: str, m: regex.Match) -> float | None:
             pass
         elif last == "." and close and _CASELESS.match(tight):
             pass
-        elif last == "." and regex.match(rf"[{CJK}]", tight) and regex.search(rf"[{CJK}]$", text[: m.start()][-1:]):
+        elif last == "." and _HAN_KANA.match(tight) and _HAN_KANA.match(text[max(0, m.start() - 1) : m.start()]):
             pass
         elif last in "؟۔।॥":
             pass
@@ -171,9 +174,9 @@ def _close_open(text: str, m: regex.Match) -> float | None:
             closes = 1.0 if word in ALSO_WORDS and _FIRST.match(after)[0] in OPENING else -8.0
         elif len(word) == 1 and word.isalpha():
             closes = -8.0 if not _CASELESS.match(word) else -4.0
-        elif regex.fullmatch(r"(?:\p{L}\.)+\p{L}|\p{L}\.-\p{L}", word):
+        elif "." in word and _DOTTED.fullmatch(word):
             closes = -2.0
-        elif regex.fullmatch(r"\d{1,2}", word) and (regex.match(r"\p{L}+", after) or [""])[0].lower() in MONTHS:
+        elif _DAY.fullmatch(word) and _FIRST.match(after)[0].lower() in MONTHS:
             closes = -8.0
     return closes + opens
 
