@@ -37,22 +37,53 @@ def test_abstract_ranks(spark):
     assert {r.a: r.r for r in df.select("a", survivor.abstract_rank(F.col("a")).alias("r")).collect()} == cases
 
 
-def test_survivors_against_brute_force(spark):
+def some_enriched(n, keys):
     import random
 
     random.seed(4)
-    rows = [dict(enr_id=i, key=random.choice("xyz"), abstract=random.choice([FULL, CUT, None]), doi=random.choice([None, "10.1234/a", "10.1234/b"]), url=random.choice([None, "u"]), venue=random.choice([None, "v"]), publication_date=random.choice([None, "2020"]), citation_count=random.choice([None, 3]), authors=random.choice([None, ["A"]]), source=random.choice(["crossref", "url", "?"]), confidence_score=random.choice([0.2, 0.9]), fetched_at=dt.datetime(2024, 1, random.randint(1, 9))) for i in range(30)]
-    e, p = enriched(spark, rows)
+    pick = random.choice
+    return [
+        dict(enr_id=i, key=pick(keys), abstract=pick([FULL, CUT, None]), doi=pick([None, "10.1234/a", "https://doi.example.org/10.1234/B", "10.1234/c"]), url=pick([None, "u"]), arxiv_url=pick([None, "https://arxiv.example.org/abs/2001.00001v2", "https://arxiv.example.org/abs/2001.00002"]), venue=pick([None, "v"]),
+             publication_date=pick([None, "2020"]), citation_count=pick([None, 3]), authors=pick([None, ["A"]]), source=pick(["crossref", "url", "?"]), confidence_score=pick([0.2, 0.9, None]), fetched_at=dt.datetime(2024, 1, random.randint(1, 9)))
+        for i in range(n)
+    ]
+
+
+def test_survivors_against_brute_force(spark):
+    import itertools
+
+    e, p = enriched(spark, some_enriched(60, "vwxyz"))
     chosen = {r.key: r for r in survivor.choose_bundles(e, p).collect()}
-    ranked = survivor.with_respects(e, p).select("key", "enr_id", "doi", *[survivor._value(b, dict(e.dtypes)).alias(b) for b in survivor.BUNDLES]).collect()
-    for key in "xyz":
+    kinds = dict(e.dtypes)
+    ranked = survivor.with_respects(e, p).select("key", "enr_id", survivor.doi_key(F.col("doi")).alias("doi"), survivor.arxiv_key(F.col("arxiv_url")).alias("arxiv"), *[survivor._trust(b, kinds).alias(b) for b in survivor.BUNDLES]).collect()
+    for key in "vwxyz":
         own = [r for r in ranked if r.key == key]
-        free = sum(max(r[b] for r in own) for b in survivor.BUNDLES if b not in survivor.DOI_BOUND)
-        best = max(sum(max(r[b] for r in own if r.doi in (None, d)) for b in survivor.DOI_BOUND) for d in {r.doi for r in own})
-        assert abs(chosen[key].trust - free - best) < 1e-9
-        used = {next(r.doi for r in own if r.enr_id == chosen[key][f"{b}_from"]) for b in survivor.DOI_BOUND}
-        assert len(used - {None}) <= 1
-    assert survivor.survivors(e, p).count() == 3
+        agree = lambda rows, c: len({r[c] for r in rows} - {None}) <= 1
+        best = max(sum(r[b] for r, b in zip(rows, survivor.BOUND, strict=True)) for rows in itertools.product(own, repeat=len(survivor.BOUND)) if agree(rows, "doi") and agree(rows, "arxiv"))
+        assert chosen[key].trust == best + sum(max(r[b] for r in own) for b in survivor.FREE)
+        used = [next(r for r in own if r.enr_id == chosen[key][f"{b}_from"]) for b in survivor.BOUND]
+        assert agree(used, "doi") and agree(used, "arxiv") and sum(r[b] for r, b in zip(used, survivor.BOUND, strict=True)) == best
+    assert survivor.survivors(e, p).count() == 5
+    assert survivor.survivors(e.limit(0), p).count() == 0 and survivor.survivors(e, p.limit(0)).count() == 5
+
+
+def test_branches_are_cut_by_their_bound(spark):
+    e, p = enriched(spark, some_enriched(200, "vwxyz"))
+    records = survivor.record_branches(survivor.with_respects(e, p))
+    assert records.where("cut IS NOT NULL").count() > records.where("cut IS NULL").count() and {r.cut for r in records.select("cut").distinct().collect()} >= {"text", "provenance"}
+    day = lambda n: dt.datetime(2024, 1, n)
+    rows = [dict(enr_id=1, key="k", doi="10.1234/best", url="u", pdf_url="p", venue="v", publication_date="2020", citation_count=1, reference_count=1, source="crossref", confidence_score=0.9, fetched_at=day(1))]
+    rows += [dict(enr_id=10 + i, key="k", doi=f"10.1234/low{i}", url="u", source="url", confidence_score=0.1, fetched_at=day(2)) for i in range(20)]
+    rows += [dict(enr_id=50 + i, key="k", doi="10.1234/mixed", arxiv_url=f"https://arxiv.example.org/abs/2001.0000{i}", venue="v", source="crossref", confidence_score=0.95, fetched_at=day(3), **x) for i, x in enumerate([dict(url="u", pdf_url="p"), dict(publication_date="2021"), dict(citation_count=2, reference_count=2)])]
+    e, p = enriched(spark, rows)
+    ranked = survivor.with_respects(e, p).withColumns({f"t_{b}": survivor._trust(b, dict(e.dtypes)) for b in survivor.BUNDLES})
+    nodes = ranked.select("key", survivor.doi_key(F.col("doi")).alias("doi"), survivor.arxiv_key(F.col("arxiv_url")).alias("arxiv"), *[F.struct(F.col(f"t_{b}").alias("v"), F.col("r_fetched").alias("t"), (-F.col("enr_id")).alias("i")).alias(b) for b in survivor.BOUND], sum(F.col(f"t_{b}") for b in survivor.BOUND).alias("whole"))
+    branches = survivor.doi_branches(nodes)
+    assert branches.count() == 22
+    first = survivor.enter(branches.where("first"), nodes)
+    assert [r.doi for r in first.collect()] == ["10.1234/mixed"]  # its bound takes bundles of three preprints, which no solution may
+    assert [r.doi for r in survivor.open_branches(branches, first).collect()] == ["10.1234/best"]  # twenty are cut
+    assert survivor.choose_bundles(e, p).first().identity_from == 1
 
 
 def test_formatting_duplicates(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import formatdup, leakage, linkage, lookalike, names, sentences, survivor, tokenize
 from .common import table
@@ -32,7 +33,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
-    return survivor.survivors(table(spark, d, "enriched"), table(spark, d, "providers"))
+    out = survivor.survivors(table(spark, d, "enriched"), table(spark, d, "providers"))
+    return out.withColumns({c: F.array_join(c, "|") for c, kind in out.dtypes if kind.startswith("array")} | {"fetched_at": F.unix_micros(F.col("fetched_at").cast("timestamp"))})
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -38,20 +38,49 @@ _CANON = f"""e AS (SELECT ord, title, authors, year, doi FROM entries UNION ALL
   FROM (SELECT *, regexp_replace(coalesce(doi, ''), '[\\s\\p{{Z}}]+', '', 'g') AS bare FROM e)),
  k AS (SELECT * FROM c WHERE c_authors <> '' OR c_doi <> '')"""
 
+_RANKED = f"""p AS (SELECT s, max(trust) AS trust FROM (SELECT {_NAME.format('source')} AS s, trust FROM providers UNION ALL SELECT {_NAME.format('display_name')}, trust FROM providers) GROUP BY 1),
+ a AS (SELECT *, {_ABSTRACT} AS body FROM enriched WHERE key IS NOT NULL),
+ r AS (SELECT a.*, CASE WHEN {_NAME.format('body')} IN ('', 'na', 'nan', 'nil', 'null', 'none', 'noabstract', 'noabstractavailable', 'abstractnotavailable', 'abstractunavailable', 'notavailable', 'abstract', 'tba', 'tbd', 'unknown', 'undefined') THEN 0
+   WHEN regexp_matches(body, '(?i)(\\.\\.\\.|…|\\[(truncated|…|\\.\\.\\.)\\])[\\s\\p{{Pe}}\\p{{Pf}}"'']*$') OR NOT regexp_matches(body, '[.!?。！？।][\\s\\p{{Pe}}\\p{{Pf}}"''”’]*$') THEN 1 ELSE 2 END AS r1,
+   CASE WHEN confidence_score BETWEEN 0 AND 1 AND NOT isnan(confidence_score) THEN confidence_score ELSE -1 END AS r2, CASE WHEN citation_count >= 0 THEN 1 ELSE 0 END AS r3, coalesce(p.trust, 0) AS r4, coalesce(epoch_us(fetched_at), -4611686018427387904) AS r5
+  FROM a LEFT JOIN p ON p.s = {_NAME.format('a.source')})"""
+#: Every choice of a DOI and a preprint id, and for each bundle the best of all rows that agree with both.
+_FIELDS = {"identity": ("doi", "doi_url", "url", "arxiv_url", "pdf_url", "is_open_access"), "text": ("abstract",), "people": ("authors",), "publication": ("publication_date", "venue"), "impact": ("citation_count", "reference_count"), "topics": ("keywords", "subjects"), "provenance": ("source", "confidence_score", "fetched_at")}
+_SAYS = {"authors": "len(authors) > 0", "keywords": "len(keywords) > 0", "subjects": "len(subjects) > 0", "citation_count": "citation_count >= 0", "reference_count": "reference_count >= 0", "is_open_access": "is_open_access IS NOT NULL", "confidence_score": "confidence_score IS NOT NULL", "fetched_at": "fetched_at IS NOT NULL"}
+
+
+def _worth(b: str) -> str:
+    says = "r1" if b == "text" else "2 * (" + " + ".join(f"coalesce({_SAYS.get(f) or _NAME.format(f) + chr(32) + chr(60) + chr(62) + chr(32) + chr(39) * 2}, false)::int" for f in _FIELDS[b]) + ")"
+    return f"({says}) * ((r4 + 1) * 1000000 + round(greatest(r2, 0) * 1000000)::bigint) AS t_{b}"
+
+
+def _best(b: str, rows: str, by: str) -> str:
+    return f"{b} AS (SELECT {by}, arg_max(enr_id, {{'v': t_{b}, 't': r5, 'i': -enr_id}}) AS {b}_from, max(t_{b}) AS v_{b} FROM {rows} GROUP BY {by})"
+
+
+_BOUND, _FREE = ("identity", "publication", "impact"), ("text", "people", "topics", "provenance")
+_SURVIVORS = f"""{_RANKED}, t AS (SELECT *, nullif(regexp_extract(lower(regexp_replace(doi, '[\\s\\p{{Z}}]+', '', 'g')), '10\\.\\d{{4,9}}/\\S+'), '') AS d, nullif(regexp_extract(lower(arxiv_url), '\\d{{4}}\\.\\d{{4,5}}|[a-z-]+(?:\\.[a-z]{{2}})?/\\d{{7}}'), '') AS x, {', '.join(map(_worth, _FIELDS))} FROM r),
+ ds AS (SELECT DISTINCT key, d FROM t WHERE d IS NOT NULL UNION ALL SELECT key, '' FROM t GROUP BY key HAVING count(d) = 0),
+ br AS (SELECT ds.key, ds.d AS bd, t.* EXCLUDE (key) FROM ds JOIN t ON t.key = ds.key AND (t.d IS NULL OR t.d = ds.d)),
+ xs AS (SELECT DISTINCT key, bd, x FROM br WHERE x IS NOT NULL UNION ALL SELECT key, bd, '' FROM br GROUP BY key, bd HAVING count(x) = 0),
+ lf AS (SELECT xs.x AS bx, br.* FROM xs JOIN br ON br.key = xs.key AND br.bd = xs.bd AND (br.x IS NULL OR br.x = xs.x)),
+ {', '.join(_best(b, 'lf', 'key, bd, bx') for b in _BOUND)}, {', '.join(_best(b, 't', 'key') for b in _FREE)},
+ ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY v_identity + v_publication + v_impact DESC, bd DESC, bx DESC) AS rn FROM identity JOIN publication USING (key, bd, bx) JOIN impact USING (key, bd, bx)) WHERE rn = 1)"""
+
 SQL: dict[str, str] = {
     "p2_found": f"""WITH {_TITLES}, m AS (SELECT visual FROM w GROUP BY 1 HAVING min(plain) <> max(plain)), x AS (SELECT w.* FROM w JOIN m USING (visual))
  SELECT a.ord AS ord_a, b.ord AS ord_b FROM x a JOIN x b ON a.visual = b.visual AND a.ord < b.ord AND a.plain <> b.plain""",
     "p2_canonical": f"""WITH {_TITLES}, n AS (SELECT visual, title, count(*) AS n FROM w GROUP BY 1, 2),
  f AS (SELECT visual, first(title ORDER BY length(regexp_replace(title, '[\\x00-\\x7F]', '', 'g')), n DESC, title) AS canonical FROM n GROUP BY 1)
  SELECT t.ord, t.title, f.canonical FROM t LEFT JOIN w USING (ord) LEFT JOIN f USING (visual)""",
-    "p3_found": f"""WITH p AS (SELECT s, max(trust) AS trust FROM (SELECT {_NAME.format('source')} AS s, trust FROM providers UNION ALL SELECT {_NAME.format('display_name')}, trust FROM providers) GROUP BY 1),
- a AS (SELECT *, {_ABSTRACT} AS body FROM enriched WHERE key IS NOT NULL),
- r AS (SELECT key, enr_id, CASE WHEN {_NAME.format('body')} IN ('', 'na', 'nan', 'nil', 'null', 'none', 'noabstract', 'noabstractavailable', 'abstractnotavailable', 'abstractunavailable', 'notavailable', 'abstract', 'tba', 'tbd', 'unknown', 'undefined') THEN 0
-   WHEN regexp_matches(body, '(?i)(\\.\\.\\.|…|\\[(truncated|…|\\.\\.\\.)\\])[\\s\\p{{Pe}}\\p{{Pf}}"'']*$') OR NOT regexp_matches(body, '[.!?。！？।][\\s\\p{{Pe}}\\p{{Pf}}"''”’]*$') THEN 1 ELSE 2 END AS r1,
-   CASE WHEN confidence_score BETWEEN 0 AND 1 AND NOT isnan(confidence_score) THEN confidence_score ELSE -1 END AS r2, CASE WHEN citation_count >= 0 THEN 1 ELSE 0 END AS r3, coalesce(p.trust, 0) AS r4, coalesce(epoch_us(fetched_at), -4611686018427387904) AS r5
-  FROM a LEFT JOIN p ON p.s = {_NAME.format('a.source')})
+    "p3_found": f"""WITH {_RANKED}
  SELECT x.key, x.enr_id FROM r x WHERE EXISTS (SELECT 1 FROM r y WHERE y.key = x.key AND y.enr_id <> x.enr_id)
   AND NOT EXISTS (SELECT 1 FROM r y WHERE y.key = x.key AND y.enr_id <> x.enr_id AND (y.r1 > x.r1 OR y.r2 > x.r2 OR y.r3 > x.r3 OR y.r4 > x.r4 OR y.r5 > x.r5 OR (y.r1 = x.r1 AND y.r2 = x.r2 AND y.r3 = x.r3 AND y.r4 = x.r4 AND y.r5 = x.r5)))""",
+    "p3_survivors": f"""WITH {_SURVIVORS}, lead AS (SELECT x.key, x.enr_id FROM r x WHERE EXISTS (SELECT 1 FROM r y WHERE y.key = x.key AND y.enr_id <> x.enr_id)
+  AND NOT EXISTS (SELECT 1 FROM r y WHERE y.key = x.key AND y.enr_id <> x.enr_id AND (y.r1 > x.r1 OR y.r2 > x.r2 OR y.r3 > x.r3 OR y.r4 > x.r4 OR y.r5 > x.r5 OR (y.r1 = x.r1 AND y.r2 = x.r2 AND y.r3 = x.r3 AND y.r4 = x.r4 AND y.r5 = x.r5))))
+ SELECT ch.key, (SELECT count(*) FROM t WHERE t.key = ch.key) AS n_rows, lead.enr_id AS lead_enr_id, (v_identity + v_publication + v_impact + v_text + v_people + v_topics + v_provenance)::bigint AS trust,
+  {', '.join((f"array_to_string(f_{b}.{f}, '|') AS {f}" if f in ('authors', 'keywords', 'subjects') else f"epoch_us(f_{b}.{f}) AS {f}" if f == 'fetched_at' else f"f_{b}.{f} AS {f}") for b, fs in _FIELDS.items() for f in fs)}
+ FROM ch {' '.join(f'JOIN {b} USING (key)' for b in _FREE)} LEFT JOIN lead USING (key) {' '.join(f'JOIN enriched f_{b} ON f_{b}.enr_id = {b}_from' for b in _FIELDS)}""",
     "p5_found": f"""WITH {_CANON}, g AS (SELECT ord, min(ord) OVER (PARTITION BY c_title, c_authors, c_year, c_doi) AS ord_first FROM k) SELECT ord_first, ord AS ord_copy FROM g WHERE ord <> ord_first""",
     "p5_records": f"""WITH {_CANON} SELECT c_title, c_authors, c_year, c_doi, min(ord) AS ord_first, count(*) AS copies, count(DISTINCT (title, authors, year, doi)) AS spellings FROM k GROUP BY 1, 2, 3, 4""",
 }
