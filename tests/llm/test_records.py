@@ -213,3 +213,46 @@ def test_linkage_by_a_frequent_run(spark):
     e += [(200 + i, end.format("k" + i * "q"), ["Max Poe"], "2011") for i in range(7)]
     w += [(200 + i, end.format("m" + i * "j"), ["Ann Loe"], "1990") for i in range(7)]
     assert published(spark, e, w) == {(1, 1)}
+
+
+def test_weights_by_shuffle_equal_those_sent(spark, monkeypatch):
+    titles = ["River gauges among delta choirs and quiet towns", "River gauges among delta choirs", "Tidal field diaries of quiet towns", "Open seed libraries"]
+    e = spark.createDataFrame([(i, titles[i % 4], ["Jane Doe", f"Max Poe{'x' * i}"], "2020") for i in range(12)], "id bigint, t string, a array<string>, d string")
+    rows = linkage.records(e, "id", F.col("t"), F.col("a"), F.col("d"))
+    l, r = linkage.nodes(rows.where("id < 8"))[0], linkage.nodes(rows.where("id > 3"))[0]
+    key = lambda dfs: [sorted((x.node, tuple(x.t), tuple(x.p), round(x.tt, 4), tuple(x.runs), tuple(x.others)) for x in df.collect()) for df in dfs]
+    sent = key(linkage.weigh(l, r))
+    monkeypatch.setattr(linkage, "SENT_WORDS", 0)
+    assert key(linkage.weigh(l, r)) == sent and sent[0]
+    counted = {x.n for x in linkage.frequencies(l, r).collect()}
+    assert max(counted) >= 6
+
+
+def test_neighbourhoods_of_a_long_chain(spark):
+    links = [(i, i) for i in range(1, 200)] + [(i + 1, i) for i in range(1, 199)] + [(1000, 1000), (1001, 1000)]
+    got = {(x.side, x.n): x.who for x in linkage.neighbourhoods(spark.createDataFrame(links, "l bigint, r bigint")).collect()}
+    assert {got["l", i] for i in range(1, 200)} == {1} and {got["r", i] for i in range(1, 200)} == {1} and got["l", 1001] == got["r", 1000] == 1000
+
+
+def test_propagation_until_stable(spark):
+    scored = [
+        (1, 1, 0.9, False), (2, 1, 0.66, False),  # only to one neighbourhood: joins
+        (3, 3, 0.9, False), (4, 4, 0.9, False), (5, 3, 0.66, False), (5, 4, 0.66, False),  # to two alike: joins neither
+        (6, 6, 0.9, False), (7, 6, 0.66, True),  # other people
+        (8, 8, 0.9, False), (9, 9, 0.9, False), (8, 9, 0.66, False),  # two that stand by themselves
+        (20, 20, 0.9, False), (20, 23, 0.67, False), (22, 20, 0.62, False), (22, 23, 0.4, False),  # one that joins takes another along
+    ]
+    who, _ = linkage.propagate(spark.createDataFrame(scored, "l bigint, r bigint, conf double, apart boolean"))
+    got = {(x.side, x.n): x.who for x in who.collect()}
+    assert got["l", 2] == got["r", 1] and ("l", 5) not in got and ("l", 7) not in got and got["l", 8] != got["l", 9]
+    assert got["l", 20] == got["r", 20] == got["r", 23] == got["l", 22]
+
+
+def test_one_wrong_link_brings_no_product(spark):
+    a = "Do northern startups need low-cost seed libraries? Mapping the case through notes on parish registers"
+    b = "Tidal river gauges in forested clinics: an audit of paired field diaries by quiet towns"
+    e = [(i, a, ["Doe, Jane" + " Q" * i], "2020") for i in range(5)] + [(10 + i, b, ["Poe, Max" + " Q" * i], "2020") for i in range(5)] + [(50, a + " " + b, ["Doe, Jane", "Poe, Max"], "2020")]
+    w = [(i, a + "!" * i, ["Jane Doe", "Ann" + "x" * i], "2020") for i in range(5)] + [(10 + i, b + "!" * i, ["Max Poe", "Ann" + "x" * i], "2020") for i in range(5)]
+    got = published(spark, e, w)
+    assert {(i, j) for k in (0, 10) for i in range(k, k + 5) for j in range(k, k + 5)} <= got
+    assert not any(i < 50 and (i < 10) != (j < 10) for i, j in got)
