@@ -1,28 +1,26 @@
-"""SQL that checks queries of this subpackage on whole tables, written apart from the operators.
-
-The look-alike map itself is data, so both sides take it from the same rule.
-"""
+"""SQL that checks queries of this subpackage on whole tables, written apart from the operators."""
 
 from __future__ import annotations
 
-from .lookalike import ligatures, look_alikes
-
-
-def _q(s: str) -> str:
-    return s.replace("'", "''")
+#: Letters that look like Latin ones, and those, as text of its own: Cyrillic, Greek, Armenian, Latin.
+_LOOK = "авекмнорстухіјѕһԁԛԝүѵӏАВЕКМНОРСТУХІЈЅҺԀԚԜҮѴӀορνιαυκτχΑΒΕΖΗΙΚΜΝΟΡΤΥΧıɡɑȷօսհցоѐёӓӑӗйӥӧӱӯӳЀЁӒӐӖ"
+_LIKE = "abekmhopctyxijshdqwyvlABEKMHOPCTYXIJSHDQWYVLopviauktxABEZHIKMNOPTYXigajouhgoèëäăĕйӥöӱӯӳÈËÄĂĔ"
+_GONE = "[\\p{Cf}\\x{34F}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180F}\\x{3164}\\x{FFA0}\\x{FE00}-\\x{FE0F}\\x{E0100}-\\x{E01EF}\\x00-\\x08\\x0E-\\x1F\\x7F-\\x9F]"
 
 
 def _visual(c: str) -> str:
-    table = look_alikes()
-    out = f"translate(regexp_replace({c}, '[\\p{{Cf}}\\x{{34F}}\\x{{115F}}\\x{{1160}}\\x{{17B4}}\\x{{17B5}}\\x{{180B}}-\\x{{180F}}\\x{{3164}}\\x{{FFA0}}\\x{{FE00}}-\\x{{FE0F}}\\x{{E0100}}-\\x{{E01EF}}\\x00-\\x08\\x0E-\\x1F\\x7F-\\x9F]', '', 'g'), '{_q(''.join(table))}', '{_q(''.join(table.values()))}')"
-    for lig, to in ligatures().items():
-        out = f"replace({out}, '{lig}', '{_q(to)}')"
-    return f"nfc_normalize(regexp_replace(lower({out}), '[\\s\\p{{Z}}\\p{{P}}]+', '', 'g'))"
+    """Full-width and mathematical letters by their numbers, look-alikes by the text above, ligatures written out, accents composed."""
+    number = "unicode(x)"
+    wide = f"CASE WHEN {number} BETWEEN 65281 AND 65374 THEN chr({number} - 65248) WHEN {number} BETWEEN 119808 AND 120483 THEN chr(CASE WHEN ({number} - 119808) % 52 < 26 THEN 65 ELSE 71 END + ({number} - 119808) % 52) WHEN {number} BETWEEN 120782 AND 120831 THEN chr(48 + ({number} - 120782) % 10) ELSE x END"
+    out = f"array_to_string(list_transform(string_split(regexp_replace({c}, '{_GONE}', '', 'g'), ''), lambda x: {wide}), '')"
+    for lig, to in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("ĳ", "ij"), ("Ĳ", "IJ"), ("ǆ", "dž"), ("ǉ", "lj"), ("ǌ", "nj"), ("ⅱ", "ii"), ("ⅲ", "iii"), ("ⅳ", "iv"), ("Ⅱ", "II"), ("Ⅲ", "III"), ("Ⅳ", "IV"), ("ⅰ", "i"), ("ⅴ", "v"), ("ⅹ", "x"), ("Ⅰ", "I"), ("Ⅴ", "V"), ("Ⅹ", "X")):
+        out = f"replace({out}, '{lig}', '{to}')"
+    return f"nfc_normalize(regexp_replace(lower(translate(nfc_normalize(translate({out}, '{_LOOK}', '{_LIKE}')), '{_LOOK}', '{_LIKE}')), '[\\s\\p{{Z}}\\p{{P}}]+', '', 'g'))"
 
 
 _TITLES = f"""t AS (SELECT ord, title FROM entries UNION ALL SELECT ord, title FROM resolved_papers),
- v AS (SELECT ord, title, regexp_replace(lower(title), '[ \\t\\n\\r\\x0B\\f\\p{{P}}]+', '', 'g') AS plain, {_visual('title')} AS visual FROM t WHERE title IS NOT NULL),
- w AS (SELECT * FROM v WHERE visual <> '')"""
+ v AS (SELECT ord, title, regexp_replace(lower(title), '[ \\t\\n\\r\\x0B\\f\\p{{P}}]+', '', 'g') AS plain, regexp_replace(regexp_replace(translate(lower(title), '‐‑﹣－', '①②③④'), '[ \\t\\n\\r\\x0B\\f]+', '', 'g'), '[^\\P{{P}}-]+', '', 'g') AS hyphens, {_visual('title')} AS visual FROM t WHERE title IS NOT NULL),
+ w AS (SELECT *, translate(hyphens, '①②③④', '----') AS level FROM v WHERE visual <> '')"""
 
 _NAME = "regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 _TAGS = "'</?[A-Za-z][^<>]{0,200}>'"
@@ -68,8 +66,8 @@ _SURVIVORS = f"""{_RANKED}, t AS (SELECT *, nullif(regexp_extract(lower(regexp_r
  ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY v_identity + v_publication + v_impact DESC, bd DESC, bx DESC) AS rn FROM identity JOIN publication USING (key, bd, bx) JOIN impact USING (key, bd, bx)) WHERE rn = 1)"""
 
 SQL: dict[str, str] = {
-    "p2_found": f"""WITH {_TITLES}, m AS (SELECT visual FROM w GROUP BY 1 HAVING min(plain) <> max(plain)), x AS (SELECT w.* FROM w JOIN m USING (visual))
- SELECT a.ord AS ord_a, b.ord AS ord_b FROM x a JOIN x b ON a.visual = b.visual AND a.ord < b.ord AND a.plain <> b.plain""",
+    "p2_found": f"""WITH {_TITLES}, m AS (SELECT visual FROM w GROUP BY 1 HAVING min(hyphens) <> max(hyphens)), x AS (SELECT w.* FROM w JOIN m USING (visual))
+ SELECT a.ord AS ord_a, b.ord AS ord_b FROM x a JOIN x b ON a.visual = b.visual AND a.ord < b.ord AND (a.plain <> b.plain OR (a.hyphens <> b.hyphens AND a.level = b.level))""",
     "p2_canonical": f"""WITH {_TITLES}, n AS (SELECT visual, title, count(*) AS n FROM w GROUP BY 1, 2),
  f AS (SELECT visual, first(title ORDER BY length(regexp_replace(title, '[\\x00-\\x7F]', '', 'g')), n DESC, title) AS canonical FROM n GROUP BY 1)
  SELECT t.ord, t.title, f.canonical FROM t LEFT JOIN w USING (ord) LEFT JOIN f USING (visual)""",
