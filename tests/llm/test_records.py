@@ -220,7 +220,7 @@ def test_weights_by_shuffle_equal_those_sent(spark, monkeypatch):
     e = spark.createDataFrame([(i, titles[i % 4], ["Jane Doe", f"Max Poe{'x' * i}"], "2020") for i in range(12)], "id bigint, t string, a array<string>, d string")
     rows = linkage.records(e, "id", F.col("t"), F.col("a"), F.col("d"))
     l, r = linkage.nodes(rows.where("id < 8"))[0], linkage.nodes(rows.where("id > 3"))[0]
-    key = lambda dfs: [sorted((x.node, tuple(x.t), tuple(x.p), round(x.tt, 4), tuple(x.runs), tuple(x.others)) for x in df.collect()) for df in dfs]
+    key = lambda dfs: [sorted((x.node, tuple(x.t), tuple(x.p), round(x.tt, 4), tuple(x.runs), tuple(x.longs), tuple(x.others), tuple(x.who), tuple(x.rare)) for x in df.collect()) for df in dfs]
     sent = key(linkage.weigh(l, r))
     monkeypatch.setattr(linkage, "SENT_WORDS", 0)
     assert key(linkage.weigh(l, r)) == sent and sent[0]
