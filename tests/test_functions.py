@@ -10,7 +10,6 @@ def one(spark, value, expr, kind="string"):
 
 CASES = [
     (text.strip_latex, r"\textbf{Deep} {Nets} \alpha x", "Deep Nets x"),
-    (text.strip_outer, '{{ "A  b" }}', "A b"),
     (text.extract_year, "in 2019-05", "2019"), (text.extract_year, " soon ", "soon"),
     (text.normalize_month, "Sept", None), (text.normalize_month, "September", "09"), (text.normalize_month, "7", "07"), (text.normalize_month, "mar", "03"),
     (text.strip_markup, "<jats:p>One</jats:p><jats:p>two <i>x</i></jats:p>", "One two x"),

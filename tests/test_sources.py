@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from vellum.functions.files import pdf_reason
 from vellum.sources import bibtex, fetch, tables
 from vellum.streaming import ingest
 
@@ -41,6 +42,35 @@ def test_bibtex(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/out").count() > 4
 
 
+def test_braces_of_any_depth_and_files_of_any_number(spark, tmp_path):
+    deep = "{" * 9 + "Deep" + "}" * 9
+    (tmp_path / "1.bib").write_text("@misc{A,\n title = {x " + deep + ", y},\n note = {a \"b},\n year = 2020\n}\n@misc{B,\n  title = \"{Q, \"\"} z\"\n  }\n@misc{C, title = {no end}\n")
+    (tmp_path / "2.bib").write_text("@misc{D,\n title={{{{{{Six}}}}}}\n}\n@misc{E,\n}\n")
+    rows = bibtex.load(spark, [(f"{tmp_path}/*.bib", "g"), (f"{tmp_path}/2.bib", "h")]).orderBy("ord").collect()
+    assert [(r.key, r.raw_fields["title"], r.source) for r in rows][:2] == [("A", "x " + deep + ", y", "g"), ("B", '{Q, ""} z', "g")]
+    assert [r.key for r in rows] == ["A", "B", "C", "D", "D"] and rows[3].title == "Six" and rows[3].source == "g" and rows[4].source == "h"
+    assert len({r.ord for r in rows}) == 5 and rows[0].year == "2020"
+    assert bibtex.load(spark, [(f"{tmp_path}/none*.bib", "x")]).count() == 0
+
+
+def test_large_files_are_split_in_order(spark, tmp_path):
+    n = 3_000
+    (tmp_path / "big.bib").write_text("".join(f"@article{{k{i},\n  title = {{Title {i}}},\n  abstract = {{{'word ' * 40}}}\n}}\n\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = bibtex.load(spark, [(f"{tmp_path}/big.bib", "main")])
+        assert df.rdd.getNumPartitions() > 4
+        assert [r.key for r in df.orderBy("ord").select("key").collect()] == [f"k{i}" for i in range(n)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_bare_values():
+    assert bibtex.bare(' {{ "A  b" }} ') == "A b" and bibtex.bare("{" * 7 + "x" + "}" * 7) == "x" and bibtex.bare('"') == "" and bibtex.bare("{a} b {c}") == "a} b {c"
+    assert bibtex.fields("A = {1}, a = {2}, b = , C=3") == {"a": "2", "c": "3"}
+
+
 def test_fetcher_waits_retries_and_breaks(spark):
     now, slept, calls = [0.0], [], []
 
@@ -61,6 +91,20 @@ def test_tables(spark, tmp_path):
     assert tables.load_json(spark, f"{tmp_path}/none", "a INT").count() == 0 and tables.previous_keys(spark, f"{tmp_path}/none") is None
     tables.save_keys(spark.createDataFrame([("b",), ("a",), ("a",)], "key string"), f"{tmp_path}/keys")
     assert [r.key for r in tables.previous_keys(spark, f"{tmp_path}/keys").orderBy("key").collect()] == ["a", "b"]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.json").write_text('{"key": "a"}\n{"key": "b"}\n{"ke')
+    assert tables.previous_keys(spark, f"{tmp_path}/bad") is None
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "a.json").write_text('{"name": "a"}\n')
+    assert tables.previous_keys(spark, f"{tmp_path}/other") is None
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "a.json").write_text("")
+    assert tables.previous_keys(spark, f"{tmp_path}/empty").count() == 0
+    (tmp_path / "pdfs").mkdir()
+    (tmp_path / "pdfs" / "a.pdf").write_bytes(b"%PDF-1" + b"x" * 20_000)
+    said = spark.createDataFrame([("a.pdf", "https://x.org/a", 200, "text/html"), ("b.pdf", "https://x.org/b", 404, None)], "name string, url string, status int, content_type string")
+    got = tables.read_downloads(spark, f"{tmp_path}/pdfs", said)
+    assert {r.url: r.why for r in got.select("url", pdf_reason(F.col("url"), F.col("status"), F.col("content_type"), F.col("content")).alias("why")).collect()} == {"https://x.org/a": "content_type", "https://x.org/b": "http_status"}
     files, stored = spark.createDataFrame([("x",), ("y",)], "name string"), spark.createDataFrame([("x",)], "name string")
     assert {r.name: r.action for r in tables.upload_plan(files, stored).collect()} == {"x": "skip", "y": "create"}
 
@@ -72,7 +116,7 @@ def test_stream(spark, tmp_path, tag):
     pdf = [{"mimetype": "application/pdf", "filetype": "pdf", "url_private_download": "u"}]
     msgs = [{"ts": "1.0", "text": "#papers x"}, {"ts": "2.0", "text": "none"}, {"ts": "3.0", "text": "#papers y", "files": pdf}, {"ts": "4.0", "text": "here", "thread_ts": "1.0", "files": pdf}]
     (src / "a.json").write_text("\n".join(map(json.dumps, msgs)))
-    rows = ingest.pending(ingest.threads(ingest.read_messages(spark, str(src)), tag), expire_days=0).where("outcome = 'added'")
+    rows = ingest.pending(ingest.threads(ingest.read_messages(spark, str(src)), tag), expire_days=0, settled_days=0).where("outcome = 'added'")
     for _ in range(2):  # the second run finds nothing new
         ingest.write_once(rows, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(60)
         got = [(r.ts, r.reply_ts) for r in spark.read.parquet(str(tmp_path / "t")).collect()]
@@ -108,5 +152,28 @@ def test_pending_state_expires():
     ask = pd.DataFrame({"ts": ["1.0"], "text": ["x"], "has_pdf": [False], "asks": [True], "is_reply": [False]})
     assert pd.concat(step(("1.0",), iter([ask]), state)).outcome.tolist() == ["asked_for_pdf"] and state.timeout == 1000
     assert list(step(("1.0",), iter([ask]), state)) == []
+    late = pd.DataFrame({"ts": ["10.5", "9.5"], "text": ["x", "y"], "has_pdf": [True, False], "asks": [False, True], "is_reply": [True, False]})
+    fresh = State()
+    assert pd.concat(ingest._step(1000, 5000)(("9.5",), iter([late]), fresh)).outcome.tolist() == ["asked_for_pdf", "added"] and fresh.timeout == 5000
+    fresh.hasTimedOut = True
+    assert list(ingest._step(1000, 5000)(("9.5",), iter([]), fresh)) == [] and not fresh.exists
     state.hasTimedOut = True
     assert pd.concat(step(("1.0",), iter([]), state)).outcome.tolist() == ["expired"] and not state.exists
+
+
+def test_outputs_of_a_batch_are_written_once(spark, tmp_path):
+    paper = "struct<doi:string,title:string,authors:array<string>,year:string,url:string,abstract:string,arxiv_id:string,source:string>"
+    rows = [("1700000000.5", "x", "added", None), ("1700000001.5", "y", "added", None), ("1700900000.5", "z", "expired", None)]
+    batch = spark.createDataFrame(rows, "ts string, text string, outcome string, reply_ts string")
+    dois = {"x": "10.1234/new", "y": "10.1234/OLD", "z": None}
+    lookup = F.create_map(*[F.lit(v) for kv in dois.items() for v in kv])
+    resolve = lambda b: b.withColumn("paper", F.struct(F.try_element_at(lookup, F.col("text")).alias("doi"), F.lit("A title").alias("title"), F.array(F.lit("Jane Doe")).alias("authors"), F.lit("2020").alias("year"), *[F.lit(None).cast("string").alias(c) for c in ("url", "abstract", "arxiv_id", "source")]).cast(paper))
+    inbox = spark.createDataFrame([("k", "10.1234/old")], "key string, doi string")
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        ingest.finalise(batch, out, resolve, inbox, "C1")
+    got = {r.ts: r.value for r in spark.read.schema("ts string, value string").parquet(f"{out}/ledger").collect()}
+    assert got["1700000001.5"] == "(duplicate)" and got["1700900000.5"] == "(expired)" and got["1700000000.5"].startswith("Doe2020-sl") and len(got) == 3
+    text = spark.read.parquet(f"{out}/inbox").collect()
+    assert len(text) == 1 and "10.1234/new" in text[0].value and text[0].key == got["1700000000.5"]
+    assert sorted(r.text for r in spark.read.parquet(f"{out}/outbox").collect()) == ["Added: A title", "Already there: A title", "No PDF came for A title"]

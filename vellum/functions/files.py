@@ -12,20 +12,19 @@ MAX_TITLE = 150
 MOST_BYTES, LEAST_BYTES = 50 * 1024 * 1024, 10 * 1024
 
 
-def scrub(c: Column, compose: bool = False) -> Column:
-    """Text that may stand in a file name: no path separators and control characters, squeezed."""
-    c = nfc(c) if compose else c
-    c = F.regexp_replace(F.translate(c, "/\\", "--"), r"[\x00-\x1f]", "")
+def scrub(c: Column) -> Column:
+    """Text that may stand in a file name: accents composed, no path separators and control characters, squeezed."""
+    c = F.regexp_replace(F.translate(nfc(c), "/\\", "--"), r"[\x00-\x1f]", "")
     return squeeze(c)
 
 
-def file_name(authors: Column, year: Column, title: Column, key: Column | None = None, compose: bool = False) -> Column:
+def file_name(authors: Column, year: Column, title: Column, key: Column | None = None) -> Column:
     """The name of a paper's file: key, surname, year and up to 150 characters of the title."""
     surname = F.coalesce(F.nullif(last_word(F.get(authors, F.lit(0))), F.lit("")), F.lit("Unknown"))
     who = F.concat(surname, F.when(F.size(authors) > 1, " et al.").otherwise(""))
-    text = strip(F.substring(scrub(F.coalesce(F.nullif(title, F.lit("")), F.lit("untitled")), compose), 1, MAX_TITLE))
+    text = strip(F.substring(scrub(F.coalesce(F.nullif(title, F.lit("")), F.lit("untitled"))), 1, MAX_TITLE))
     name = F.concat(who, F.when(present(year), F.concat(F.lit(" "), year)).otherwise(""), F.lit(" - "), text, F.lit(".pdf"))
-    return name if key is None else F.when(present(key), F.concat(scrub(key, compose), F.lit(" - "), name)).otherwise(name)
+    return name if key is None else F.when(present(key), F.concat(scrub(key), F.lit(" - "), name)).otherwise(name)
 
 
 def pdf_reason(url: Column, status: Column, content_type: Column, content: Column) -> Column:

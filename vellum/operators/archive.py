@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.files import first_pdf
-from vellum.functions.ids import doi_archive, doi_in_message, preprint_id
-from vellum.functions.text import archive_title, present
+from vellum.functions.ids import doi_archive, doi_in_message, mint_key, preprint_id
+from vellum.functions.text import archive_title, join_key, present
 from vellum.functions.urls import urls_in_text
+from vellum.sources.bibtex import render
 
 #: Subtypes of messages that report an event of the channel. Fixed values.
 CHANNEL_EVENTS = (
@@ -31,7 +32,7 @@ def index(*tables: DataFrame, fold: bool = True) -> tuple[DataFrame, DataFrame]:
 
 def known(papers: DataFrame, dois: DataFrame, titles: DataFrame, fold: bool = True) -> DataFrame:
     """Papers with ``is_known``: the archive has the DOI or the title. Two equality joins, no join on an alternative."""
-    p = papers.withColumns({"_d": doi_archive(F.col("doi")), "_t": archive_title(F.col("title"), fold)})
+    p = papers.withColumns({"_d": join_key(doi_archive(F.col("doi"))), "_t": join_key(archive_title(F.col("title"), fold))})
     d = dois.select(F.col("known_doi").alias("_d"), F.lit(True).alias("_hd"))
     t = titles.select(F.col("known_title").alias("_t"), F.lit(True).alias("_ht"))
     out = p.join(d, "_d", "left").join(t, "_t", "left")
@@ -39,9 +40,12 @@ def known(papers: DataFrame, dois: DataFrame, titles: DataFrame, fold: bool = Tr
 
 
 def index_of_feed(feed: DataFrame, inbox: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Known DOIs and titles of a feed document (column ``value``, JSON) and of bibliography text (column ``value``)."""
-    item = F.from_json("value", "items ARRAY<STRUCT<title: STRING, _academic: STRUCT<doi: STRING>>>")
-    fed = feed.select(F.explode(item["items"]).alias("i")).select(F.col("i._academic.doi").alias("doi"), F.col("i.title").alias("title"))
+    """Known DOIs and titles of a feed document (column ``value``, its lines as ``feed.json_feed`` writes them, one item a
+    line, or the whole document as one) and of bibliography text (column ``value``)."""
+    line = F.regexp_replace(F.trim("value"), r"^,|,$", "")
+    item = F.from_json(line, "title STRING, _academic STRUCT<doi: STRING>, items ARRAY<STRUCT<title: STRING, _academic: STRUCT<doi: STRING>>>, id STRING")
+    each = feed.select(item.alias("i")).select(F.explode(F.concat(F.coalesce("i.items", F.array().cast("array<struct<title:string,_academic:struct<doi:string>>>")), F.when(F.col("i.id").isNotNull(), F.array(F.struct(F.col("i.title").alias("title"), F.col("i._academic").alias("_academic")))).otherwise(F.array().cast("array<struct<title:string,_academic:struct<doi:string>>>")))).alias("i"))
+    fed = each.select(F.col("i._academic.doi").alias("doi"), F.col("i.title").alias("title"))
     typed = lambda f: inbox.select(F.explode(F.regexp_extract_all("value", F.lit(rf"(?i)\b{f}\s*=\s*\{{([^}}]*)\}}"), F.lit(1))).alias(f))
     none = F.lit(None).cast("string")
     return index(fed, typed("doi").withColumn("title", none), typed("title").withColumn("doi", none))
@@ -64,9 +68,9 @@ def route(messages: DataFrame, tag: str | None) -> DataFrame:
 
 
 def unseen(messages: DataFrame, seen: DataFrame, last_ts: str) -> DataFrame:
-    """Messages after the cursor that no ledger has, in time order by ``ts_number``."""
+    """Messages after the cursor that no ledger has, sorted by time (``ts_number``)."""
     m = messages.withColumn("ts_number", F.col("ts").cast("decimal(20,6)")).where(F.col("ts_number") > F.lit(last_ts).cast("decimal(20,6)"))
-    return m.join(seen.select("ts"), "ts", "left_anti")
+    return m.join(seen.select("ts"), "ts", "left_anti").orderBy("ts_number")
 
 
 def pdf_source(attached: Column, preprint: Column, open_access: Column) -> Column:
@@ -100,8 +104,8 @@ def contains(rows: DataFrame, inbox: DataFrame) -> DataFrame:
     low = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
     keys = inbox.select("key", F.lit(True).alias("_k")).distinct()
     dois = inbox.select(low("doi").alias("_d"), F.lit(True).alias("_o")).where("_d IS NOT NULL").distinct()
-    out = rows.withColumn("_d", low("doi")).join(keys, "key", "left").join(dois, "_d", "left")
-    return out.withColumn("is_there", F.coalesce("_k", "_o", F.lit(False))).drop("_k", "_o", "_d")
+    out = rows.withColumns({"_d": join_key(low("doi")), "_q": join_key(F.col("key"))}).join(keys.withColumnRenamed("key", "_q"), "_q", "left").join(dois, "_d", "left")
+    return out.select(*rows.columns, F.coalesce("_k", "_o", F.lit(False)).alias("is_there"))
 
 
 def resolve(suggestions: DataFrame, preprints: DataFrame, crossref: DataFrame, datacite: DataFrame, pages: DataFrame) -> DataFrame:
@@ -140,3 +144,23 @@ def outbox(routed: DataFrame, channel: str, text: Column) -> DataFrame:
 def cursor(messages: DataFrame) -> DataFrame:
     """The time stamp up to which messages are done."""
     return messages.agg(F.max_by("ts", F.col("ts").cast("decimal(20,6)")).alias("last_ts"))
+
+
+def published(resolved: DataFrame, inbox: DataFrame | None) -> DataFrame:
+    """Settled suggestions with ``key``, ``bib`` (the record as text) and ``is_there``: whether the inbox (key, doi) has the paper already."""
+    p = F.col("paper")
+    key = mint_key(F.get(p["authors"], F.lit(0)), p["year"], F.col("ts"))
+    note = F.concat(F.lit("Suggested in chat, "), F.col("ts"))
+    none = F.array().cast("array<string>")
+    bib = render(key, p["title"], F.coalesce(p["authors"], none), p["year"], p["doi"], p["url"], p["abstract"], note)
+    rows = resolved.withColumns({"key": key, "doi": p["doi"], "bib": bib})
+    return contains(rows, inbox) if inbox is not None else rows.withColumn("is_there", F.lit(False))
+
+
+def reply() -> Column:
+    """What to answer to a settled suggestion (see ``published``)."""
+    title = F.coalesce(F.col("paper.title"), F.col("paper.url"), F.lit("this paper"))
+    return (
+        F.when(F.col("is_there"), F.concat(F.lit("Already there: "), title)).when(F.col("outcome") == "added", F.concat(F.lit("Added: "), title))
+        .when(F.col("outcome") == "asked_for_pdf", F.concat(F.lit("Please reply with a PDF of "), title)).when(F.col("outcome") == "expired", F.concat(F.lit("No PDF came for "), title))
+    )

@@ -98,12 +98,13 @@ def years_and_months(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""WITH a AS (SELECT DISTINCT unnest(authors) AS name FROM enriched), p AS (SELECT name, list_transform(string_split(name, ','), lambda x: trim(x)) AS h FROM a WHERE name IS NOT NULL)
+    r"""WITH a AS (SELECT unnest(authors) AS name FROM enriched UNION SELECT unnest(authors) FROM entries), p AS (SELECT name, list_transform(string_split(name, ','), lambda x: trim(x)) AS h FROM a WHERE name IS NOT NULL)
     SELECT name, CASE WHEN len(h) <> 2 THEN name WHEN h[1] <> '' AND h[2] <> '' THEN h[2] || ' ' || h[1] ELSE trim(name) END AS natural_name,
     trim(string_split(string_split(name, ' and ')[1], ',')[1]) AS first_author FROM p"""
 )
 def natural_names(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "enriched").select(F.explode("authors").alias("name")).where("name IS NOT NULL").distinct()
+    of = lambda t: read_table(spark, d, t).select(F.explode("authors").alias("name"))
+    rows = of("enriched").unionByName(of("entries")).where("name IS NOT NULL").distinct()
     return rows.select("name", names.natural_order(F.col("name")).alias("natural_name"), names.first_author(F.col("name")).alias("first_author"))
 
 
@@ -146,12 +147,11 @@ def minted_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""WITH s AS (SELECT ord, authors, year, key, coalesce(nullif(list_filter(string_split_regex(authors[1], '[\s\p{Z}]+'), lambda x: x <> '')[-1], ''), 'Unknown') AS who, trim(regexp_replace(regexp_replace(translate(coalesce(nullif(title, ''), 'untitled'), '/\', '--'), '[\x00-\x1f]', '', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS t FROM entries)
-    SELECT ord, key || ' - ' || who || CASE WHEN len(authors) > 1 THEN ' et al.' ELSE '' END || CASE WHEN coalesce(year, '') <> '' THEN ' ' || year ELSE '' END || ' - ' || trim(substr(t, 1, 150)) || '.pdf' AS name FROM s WHERE coalesce(key, '') <> ''"""
+    r"""WITH s AS (SELECT ord, authors, year, key, coalesce(nullif(list_filter(string_split_regex(authors[1], '[\s\p{Z}]+'), lambda x: x <> '')[-1], ''), 'Unknown') AS who, trim(regexp_replace(regexp_replace(translate(nfc_normalize(coalesce(nullif(title, ''), 'untitled')), '/\', '--'), '[\x00-\x1f]', '', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS t FROM entries)
+    SELECT ord, CASE WHEN coalesce(key, '') <> '' THEN trim(regexp_replace(translate(nfc_normalize(key), '/\', '--'), '[\s\p{Z}]+', ' ', 'g')) || ' - ' ELSE '' END || who || CASE WHEN len(authors) > 1 THEN ' et al.' ELSE '' END || CASE WHEN coalesce(year, '') <> '' THEN ' ' || year ELSE '' END || ' - ' || trim(substr(t, 1, 150)) || '.pdf' AS name FROM s"""
 )
 def file_names(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "entries").where("coalesce(key, '') <> ''")
-    return rows.select("ord", files.file_name(F.coalesce("authors", F.array().cast("array<string>")), F.col("year"), F.col("title"), F.col("key")).alias("name"))
+    return read_table(spark, d, "entries").select("ord", files.file_name(F.coalesce("authors", F.array().cast("array<string>")), F.col("year"), F.col("title"), F.col("key")).alias("name"))
 
 
 @query(r"SELECT ord, regexp_replace(replace(replace(replace(replace(coalesce(title, ''), '\', '\\'), '{', '\{'), '}', '\}'), chr(10), ' '), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS bib FROM entries")
@@ -199,7 +199,7 @@ def index_postings(spark: SparkSession, d: str) -> DataFrame:
 
 # --- sets of records ------------------------------------------------------------------------------------------------
 
-_WORDS = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}_\s\p{{Z}}]', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
+_WORDS = r"trim(regexp_replace(regexp_replace(lower(nfc_normalize(coalesce({0}, ''))), '[^\p{{L}}\p{{N}}_\s\p{{Z}}]', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
 _LAST = r"list_filter(string_split_regex(authors[1], '[\s\p{Z}]+'), lambda x: x <> '')[-1]"
 
 
@@ -215,7 +215,8 @@ def cross_source_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ADOI = r"nullif(regexp_replace(lower(trim(regexp_replace(trim({0}), '(?i)^(?:https?://)?(?:dx\.)?doi\.org/', ''))), '\.+$', ''), '')"
-_ATITLE = r"trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\s]', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
+_ATITLE = r"""trim(regexp_replace(regexp_replace(lower(array_to_string(list_transform(string_split(strip_accents(replace(replace(regexp_replace(translate({0}, '⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉ⅰⅴⅹ', '01234567890123456789ivx'), '[\p{{Zs}}]', ' ', 'g'), 'ﬁ', 'fi'), 'ﬂ', 'fl')), ''),
+ lambda x: CASE WHEN unicode(x) BETWEEN 65281 AND 65374 THEN chr(unicode(x) - 65248) WHEN unicode(x) < 128 THEN x ELSE '' END), '')), '[^a-z0-9\s]', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"""
 
 
 @query(
@@ -224,8 +225,8 @@ _ATITLE = r"trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\s]', ' ', '
     SELECT ord, coalesce(d IN (SELECT d FROM e WHERE d IS NOT NULL), false) OR coalesce(t IN (SELECT t FROM e WHERE t IS NOT NULL), false) AS is_known FROM r"""
 )
 def known_papers(spark: SparkSession, d: str) -> DataFrame:
-    dois, titles = archive.index(read_table(spark, d, "entries"), fold=False)
-    return archive.known(read_table(spark, d, "resolved_papers"), dois, titles, fold=False).select("ord", "is_known")
+    dois, titles = archive.index(read_table(spark, d, "entries"))
+    return archive.known(read_table(spark, d, "resolved_papers"), dois, titles).select("ord", "is_known")
 
 
 @query(
@@ -247,24 +248,27 @@ def best_title_match(spark: SparkSession, d: str) -> DataFrame:
     return match.best_match(q, c, 0.7).select("qid", "cid", F.round("score", 6).alias("score"))
 
 
+PROVIDERS = ("crossref", "openalex", "semanticscholar", "arxiv")
+
+
 @query(
-    """WITH r AS (SELECT *, CASE lower(trim(source)) WHEN 'crossref' THEN 0 WHEN 'openalex' THEN 1 WHEN 'semantic_scholar' THEN 2 END AS k FROM enriched), o AS (SELECT key, k, min(enr_id) AS enr_id FROM r WHERE k IS NOT NULL GROUP BY 1, 2)
-    SELECT key, enr_id, CASE k WHEN 0 THEN 'crossref' WHEN 1 THEN 'openalex' ELSE 'semantic_scholar' END AS provider FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY k) AS rn FROM o) WHERE rn = 1"""
+    """WITH r AS (SELECT *, list_position(['crossref', 'openalex', 'semanticscholar', 'arxiv'], regexp_replace(lower(source), '[^a-z]', '', 'g')) AS k FROM enriched), o AS (SELECT key, coalesce(k, 5) AS k, min(enr_id) AS enr_id FROM r GROUP BY 1, 2)
+    SELECT key, enr_id, CASE k WHEN 1 THEN 'crossref' WHEN 2 THEN 'openalex' WHEN 3 THEN 'semanticscholar' WHEN 4 THEN 'arxiv' ELSE 'url' END AS provider FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY k) AS rn FROM o) WHERE rn = 1"""
 )
 def provider_chain(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "enriched").withColumn("p", F.lower(F.trim("source")))
-    found = [(p, rows.where(F.col("p") == p).groupBy("key").agg(F.min("enr_id").alias("enr_id"))) for p in ("crossref", "openalex", "semantic_scholar")]
-    return match.first_provider(found).select("key", "enr_id", "provider")
+    rows = read_table(spark, d, "enriched").withColumn("p", F.regexp_replace(F.lower("source"), "[^a-z]", ""))
+    first = lambda df: df.groupBy("key").agg(F.min("enr_id").alias("enr_id"))
+    found = [(p, first(rows.where(F.col("p") == p))) for p in PROVIDERS]
+    return match.first_provider([*found, ("url", first(rows.where(~F.coalesce(F.col("p").isin(*PROVIDERS), F.lit(False)))))]).select("key", "enr_id", "provider")
 
 
 @query(
     r"""SELECT ord, coalesce(contains(lower(journal), 'arxiv'), false) OR coalesce(contains(lower(doi), 'arxiv'), false) OR coalesce(contains(lower(url), 'arxiv'), false)
-    OR len(list_filter(map_entries(raw_fields), lambda e: lower(e.key) IN ('archiveprefix', 'eprint', 'primaryclass') AND contains(lower(e.value), 'arxiv'))) > 0
-    OR len(list_filter(map_entries(raw_fields), lambda e: lower(e.key) = 'eprint' AND regexp_matches(e.value, '^(\d{4}\.\d{4,5}|[a-z-]+/\d{7})$'))) > 0 AS preprint FROM entries WHERE raw_fields IS NOT NULL"""
+    OR coalesce(len(list_filter(map_entries(raw_fields), lambda e: lower(e.key) IN ('archiveprefix', 'eprint', 'primaryclass') AND contains(lower(e.value), 'arxiv'))), 0) > 0
+    OR coalesce(len(list_filter(map_entries(raw_fields), lambda e: lower(e.key) = 'eprint' AND regexp_matches(e.value, '^(\d{4}\.\d{4,5}|[a-z-]+/\d{7})$'))), 0) > 0 AS preprint FROM entries"""
 )
 def preprints(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "entries").where("raw_fields IS NOT NULL")
-    return rows.select("ord", match.is_preprint(F.col("journal"), F.col("doi"), F.col("url"), F.col("raw_fields")).alias("preprint"))
+    return read_table(spark, d, "entries").select("ord", match.is_preprint(F.col("journal"), F.col("doi"), F.col("url"), F.col("raw_fields")).alias("preprint"))
 
 
 @query(
@@ -281,11 +285,12 @@ def entries_with_metadata(spark: SparkSession, d: str) -> DataFrame:
     return e.join(read_table(spark, d, "enriched").groupBy("key").agg(F.max("enr_id").alias("enr_id")), "key", "left")
 
 
-@query("WITH o AS (SELECT key, min(enr_id) AS v FROM enriched WHERE source = 'url' GROUP BY 1), n AS (SELECT key, min(enr_id) AS v FROM enriched WHERE source = 'crossref' GROUP BY 1) SELECT coalesce(n.key, o.key) AS key, CASE WHEN n.key IS NOT NULL THEN n.v ELSE o.v END AS v FROM o FULL JOIN n ON o.key = n.key")
+@query("WITH o AS (SELECT key, min(enr_id) AS v FROM enriched WHERE source IS DISTINCT FROM 'crossref' GROUP BY 1), n AS (SELECT key, min(enr_id) AS v FROM enriched WHERE source = 'crossref' GROUP BY 1) SELECT coalesce(n.key, o.key) AS key, CASE WHEN n.key IS NOT NULL THEN n.v ELSE o.v END AS v FROM o FULL JOIN n ON o.key = n.key")
 def merged_metadata(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "enriched")
-    part = lambda s: rows.where(F.col("source") == s).groupBy("key").agg(F.min("enr_id").alias("v"))
-    return cache.merge(part("url"), part("crossref"))
+    of = F.col("source").eqNullSafe("crossref")
+    part = lambda c: rows.where(c).groupBy("key").agg(F.min("enr_id").alias("v"))
+    return cache.merge(part(~of), part(of))
 
 
 # --- caches ---------------------------------------------------------------------------------------------------------
@@ -407,15 +412,38 @@ def landing_pages(spark: SparkSession, d: str) -> DataFrame:
 # --- messages -------------------------------------------------------------------------------------------------------
 
 
-@query(
-    r"""WITH u AS (SELECT doc_id, text, list_concat(regexp_extract_all(coalesce(text, ''), '<(https?://[^|>\s]+)(?:\|[^>]*)?>', 1), list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), '<https?://[^>]*>', ' ', 'g'), '(https?://[^\s<>|]+)', 1), lambda x: regexp_replace(x, '[.,;)]+$', ''))) AS us FROM documents)
-    SELECT doc_id, len(list_distinct(us)) AS n_urls, us[1] AS first_url, nullif(regexp_replace(regexp_extract(coalesce(text, ''), '\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)', 1), '[.,;)]+$', ''), '') AS doi,
-    CASE WHEN NOT coalesce(regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])#zettel\b'), false) THEN 'not_asked' END AS skip FROM u"""
-)
+_INPUTS = r"""u AS (SELECT doc_id, text, CASE WHEN doc_id % 13 = 0 THEN 'channel_join' WHEN doc_id % 13 = 1 THEN 'file_share' WHEN doc_id % 13 = 2 THEN 'bot_message' END AS subtype, CASE WHEN doc_id % 11 = 0 THEN 'B1' WHEN doc_id % 11 = 1 THEN '' END AS bot,
+    CASE WHEN doc_id % 5 = 0 THEN 'application/pdf' WHEN doc_id % 7 = 0 THEN 'image/png' END AS mime, CASE WHEN doc_id % 3 = 0 THEN '#zettel ' || coalesce(text, '') WHEN doc_id % 3 = 1 THEN coalesce(text, '') || ' https://arxiv.org/abs/2001.0' || (1000 + doc_id % 9000)::varchar || 'v2.' ELSE text END AS said FROM documents),
+ v AS (SELECT *, list_concat(regexp_extract_all(coalesce(said, ''), '<(https?://[^|>\s]+)(?:\|[^>]*)?>', 1), list_transform(regexp_extract_all(regexp_replace(coalesce(said, ''), '<https?://[^>]*>', ' ', 'g'), '(https?://[^\s<>|]+)', 1), lambda x: regexp_replace(x, '[.,;)]+$', ''))) AS us FROM u),
+ w AS (SELECT *, len(list_distinct(us)) AS n_urls, us[1] AS first_url, nullif(regexp_replace(regexp_extract(coalesce(said, ''), '\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)', 1), '[.,;)]+$', ''), '') AS own,
+  nullif(list_filter(list_transform(us, lambda x: regexp_extract(x, '(?i)https?://(?:www\.)?arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5})(?:v\d+)?', 1)), lambda x: x <> '')[1], '') AS preprint FROM v)"""
+_EVENT = "WHEN subtype IN ('channel_join', 'bot_message') THEN 'event' WHEN coalesce(bot, '') <> '' THEN 'bot'"
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as messages with every kind of input a router meets."""
+    i, body = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    link = F.concat(body, F.lit(" https://arxiv.org/abs/2001.0"), (1000 + i % 9000).cast("string"), F.lit("v2."))
+    mime = F.when(i % 5 == 0, "application/pdf").when(i % 7 == 0, "image/png")
+    file = F.struct(mime.alias("mimetype"), F.lit(None).cast("string").alias("filetype"), F.lit("u").alias("url_private_download"))
+    return read_table(spark, d, "documents").select(
+        "doc_id", F.when(i % 3 == 0, F.concat(F.lit("#zettel "), body)).when(i % 3 == 1, link).otherwise(F.col("text")).alias("text"),
+        F.when(i % 13 == 0, "channel_join").when(i % 13 == 1, "file_share").when(i % 13 == 2, "bot_message").alias("subtype"), F.when(i % 11 == 0, "B1").when(i % 11 == 1, "").alias("bot_id"), F.when(mime.isNotNull(), F.array(file)).alias("files"),
+    )
+
+
+def _routed(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.size("urls").cast("bigint").alias("n_urls"), F.get("urls", F.lit(0)).alias("first_url"), "doi", "preprint", F.col("pdf").isNotNull().alias("has_pdf"), "skip")
+
+
+@query(f"WITH {_INPUTS} SELECT doc_id, n_urls, first_url, own AS doi, preprint, coalesce(mime = 'application/pdf', false) AS has_pdf, CASE {_EVENT} WHEN NOT coalesce(regexp_matches(said, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])#zettel\\b'), false) THEN 'not_asked' END AS skip FROM w")
 def message_router(spark: SparkSession, d: str) -> DataFrame:
-    none = F.lit(None).cast("string")
-    m = read_table(spark, d, "documents").select("doc_id", "text", none.alias("subtype"), none.alias("bot_id"), F.lit(None).cast("array<struct<mimetype:string,filetype:string,url_private_download:string>>").alias("files"))
-    return archive.route(m, "zettel").select("doc_id", F.size("urls").cast("bigint").alias("n_urls"), F.get("urls", F.lit(0)).alias("first_url"), "doi", "skip")
+    return _routed(archive.route(_messages(spark, d), "zettel"))
+
+
+@query(f"WITH {_INPUTS} SELECT doc_id, n_urls, first_url, own AS doi, preprint, coalesce(mime = 'application/pdf', false) AS has_pdf, CASE {_EVENT} WHEN n_urls = 0 AND coalesce(mime <> 'application/pdf', true) THEN 'not_asked' END AS skip FROM w")
+def message_router_untagged(spark: SparkSession, d: str) -> DataFrame:
+    return _routed(archive.route(_messages(spark, d), None))
 
 
 @query(
@@ -435,13 +463,13 @@ def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
 
 # --- freshness ------------------------------------------------------------------------------------------------------
 
-_RUNS = "r AS (SELECT user_id::varchar AS repo, event_type AS workflow, ts AS began, event_id, ts + INTERVAL 1 HOUR * (event_id % 6) AS upd, CASE WHEN event_id % 3 = 0 THEN 'push' ELSE 'schedule' END AS event, CASE WHEN event_id % 11 = 0 THEN 'in_progress' ELSE 'completed' END AS status, CASE WHEN event_id % 5 = 0 THEN 'failure' WHEN event_id % 7 = 0 THEN 'cancelled' ELSE 'success' END AS conclusion FROM events)"
+_RUNS = "r AS (SELECT user_id::varchar AS repo, event_type AS workflow, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 1 HOUR ELSE ts END AS began, event_id, ts + INTERVAL 1 HOUR * (event_id % 6) AS upd, CASE WHEN event_id % 3 = 0 THEN 'push' ELSE 'schedule' END AS event, CASE WHEN event_id % 11 = 0 THEN 'in_progress' ELSE 'completed' END AS status, CASE WHEN event_id % 5 = 0 THEN 'failure' WHEN event_id % 7 = 0 THEN 'cancelled' ELSE 'success' END AS conclusion FROM events)"
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     i, ts = F.col("event_id"), F.col("ts").cast("timestamp")
     return read_table(spark, d, "events").select(
-        F.col("user_id").cast("string").alias("repo"), F.col("event_type").alias("workflow"), F.lit(None).cast("timestamp").alias("run_started_at"), ts.alias("created_at"), i.alias("event_id"), (ts + F.make_dt_interval(hours=(i % 6).cast("int"))).alias("updated_at"),
+        F.col("user_id").cast("string").alias("repo"), F.col("event_type").alias("workflow"), F.when(i % 4 == 0, ts + F.expr("INTERVAL 1 HOUR")).alias("run_started_at"), ts.alias("created_at"), i.alias("event_id"), (ts + F.make_dt_interval(hours=(i % 6).cast("int"))).alias("updated_at"),
         F.when(i % 3 == 0, "push").otherwise("schedule").alias("event"), F.when(i % 11 == 0, "in_progress").otherwise("completed").alias("status"), F.when(i % 5 == 0, "failure").when(i % 7 == 0, "cancelled").otherwise("success").alias("conclusion"),
     )
 
@@ -449,7 +477,7 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_RUNS} SELECT repo, workflow, date_sub('second', max(began) FILTER (event = 'schedule' AND conclusion = 'success'), {NOW}) AS age_seconds FROM r GROUP BY 1, 2")
 def newest_success_age(spark: SparkSession, d: str) -> DataFrame:
     r = _runs(spark, d)
-    ages = freshness.newest_age(r, ["repo", "workflow"], F.col("created_at"), freshness.scheduled_success(r), _now())
+    ages = freshness.newest_age(r, ["repo", "workflow"], freshness.run_start(r), freshness.scheduled_success(r), _now())
     return ages.select("repo", "workflow", F.round(F.col("age") * 86400).cast("bigint").alias("age_seconds"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,14 +15,6 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder the session names; a local folder only where none is named (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellum-"))
-    return df.checkpoint(eager=True)
-
-
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One input table of a data directory."""
     return spark.read.parquet(f"{directory}/{name}.parquet")

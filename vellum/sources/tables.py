@@ -31,11 +31,11 @@ def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def previous_keys(spark: SparkSession, path: str) -> DataFrame | None:
-    """Keys of the previous run; None, not an empty table, where they are missing or unreadable."""
+    """Keys of the previous run; None, not an empty table, where they are missing or any of them is unreadable."""
     try:
-        rows = spark.read.schema("key STRING").json(path)
-        rows.limit(1).collect()
-        return rows
+        rows = spark.read.schema("key STRING").option("mode", "FAILFAST").json(path)
+        seen = rows.agg(F.count_if(F.col("key").isNull()).alias("n")).first()  # reads all of it; a state is one short row a finding
+        return rows if seen.n == 0 else None
     except Exception:  # no state is a state of its own
         return None
 
@@ -57,9 +57,11 @@ def write_document(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
-def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
-    """url, status, content_type, content of PDF files in a folder, as downloads."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select(F.col("path").alias("url"), F.lit(200).alias("status"), F.lit("application/pdf").alias("content_type"), "content")
+def read_downloads(spark: SparkSession, path: str, responses: DataFrame) -> DataFrame:
+    """url, status, content_type, content of downloads: the bodies are files of a folder, what the server said is in
+    responses (name of the file, url, status, content_type). A response without a file has no content, and keeps its row."""
+    bodies = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    return responses.join(bodies, "name", "left").select("url", F.col("status").cast("int").alias("status"), "content_type", "content")
 
 
 def load_settings(path: str, env: dict[str, str] | None = None) -> dict:
