@@ -242,7 +242,7 @@ def test_propagation_until_stable(spark):
         (8, 8, 0.9, False), (9, 9, 0.9, False), (8, 9, 0.66, False),  # two that stand by themselves
         (20, 20, 0.9, False), (20, 23, 0.67, False), (22, 20, 0.62, False), (22, 23, 0.4, False),  # one that joins takes another along
     ]
-    who, _ = linkage.propagate(spark.createDataFrame(scored, "l bigint, r bigint, conf double, apart boolean"))
+    who = linkage.propagate(spark.createDataFrame(scored, "l bigint, r bigint, conf double, apart boolean"))
     got = {(x.side, x.n): x.who for x in who.collect()}
     assert got["l", 2] == got["r", 1] and ("l", 5) not in got and ("l", 7) not in got and got["l", 8] != got["l", 9]
     assert got["l", 20] == got["r", 20] == got["r", 23] == got["l", 22]
