@@ -219,13 +219,12 @@ def test_weights_by_shuffle_equal_those_sent(spark, monkeypatch):
     titles = ["River gauges among delta choirs and quiet towns", "River gauges among delta choirs", "Tidal field diaries of quiet towns", "Open seed libraries"]
     e = spark.createDataFrame([(i, titles[i % 4], ["Jane Doe", f"Max Poe{'x' * i}"], "2020") for i in range(12)], "id bigint, t string, a array<string>, d string")
     rows = linkage.records(e, "id", F.col("t"), F.col("a"), F.col("d"))
-    l, r = linkage.nodes(rows.where("id < 8"))[0], linkage.nodes(rows.where("id > 3"))[0]
-    key = lambda dfs: [sorted((x.node, tuple(x.t), tuple(x.p), round(x.tt, 4), tuple(x.runs), tuple(x.others)) for x in df.collect()) for df in dfs]
-    sent = key(linkage.weigh(l, r))
+    every = linkage.nodes(rows.where("id < 8").withColumn("side", F.lit("l")).unionByName(rows.where("id > 3").withColumn("side", F.lit("r"))))
+    key = lambda df: sorted((x.side, x.node, tuple(x.t), tuple(x.p), round(x.tt, 4), tuple(x.runs), tuple(x.others)) for x in df.collect())
+    sent = key(linkage.weigh(every))
     monkeypatch.setattr(linkage, "SENT_WORDS", 0)
-    assert key(linkage.weigh(l, r)) == sent and sent[0]
-    counted = {x.n for x in linkage.frequencies(l, r).collect()}
-    assert max(counted) >= 6
+    assert key(linkage.weigh(every)) == sent and sent
+    assert max(x.n for x in linkage.frequencies(every).collect()) >= 6
 
 
 def test_neighbourhoods_of_a_long_chain(spark):
