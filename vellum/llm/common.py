@@ -31,16 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame, *done: DataFrame) -> DataFrame:
+def stored(df: DataFrame, *done: DataFrame, by: str | None = None) -> DataFrame:
     """Write a frame as a compressed table to the shared checkpoint folder and read it from there: lineage is cut, columns
     can be pruned, and the copy outlives executors. Tables given as done are removed, as are the shuffle files of the
-    write; what is left is removed by ``release`` or when the session's process ends."""
+    write; what is left is removed by ``release`` or when the session's process ends. ``by`` names a column of few values
+    by which the table is partitioned."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
