@@ -1,7 +1,7 @@
 import pytest
 from compare import DATA, rows, sql_rows
 
-from vellum.plans import catalogue
+from vellum.plans import catalogue, checks  # noqa: F401, checks registers its queries
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))

@@ -15,35 +15,41 @@ DATE_TAGS = ("citation_publication_date", "citation_date", "citation_online_date
 DOI_TAGS = ("citation_doi", "dc.identifier", "dc.identifier.doi", "prism.doi", "bepress_citation_doi", "doi")
 
 
-def meta_tags(html: Column) -> Column:
-    """Meta tags in order, as structs (label, content); attributes may stand in any order."""
-    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
+def _attribute(tag: Column, *names: str) -> Column:
+    """The first of the named attributes that says something, in either quotation mark."""
+    one = lambda n: F.nullif(F.coalesce(F.nullif(F.regexp_extract(tag, f'(?i)\\s{n}\\s*=\\s*"([^"]*)"', 1), F.lit("")), F.regexp_extract(tag, f"(?i)\\s{n}\\s*=\\s*'([^']*)'", 1)), F.lit(""))
+    return F.coalesce(*map(one, names))
 
-    def attr(tag: Column, name: str) -> Column:
-        return F.nullif(F.regexp_extract(tag, rf"""(?i)\b{name}\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
 
-    both = F.transform(tags, lambda t: F.struct(F.lower(strip(F.coalesce(attr(t, "name"), attr(t, "property")))).alias("label"), strip(unescape_core(attr(t, "content"))).alias("content")))
+def meta_tags(html: Column) -> Column:
+    """Meta tags in order, as structs (label, content); attributes may stand in any order."""
+    tags = F.filter(F.split(F.coalesce(html, F.lit("")), "<"), lambda t: F.lower(F.substring(t, 1, 5)) == "meta ")
+    inner = F.transform(tags, lambda t: F.substring_index(t, ">", 1))
+    both = F.transform(inner, lambda t: F.struct(F.lower(strip(_attribute(t, "name", "property"))).alias("label"), strip(unescape_core(_attribute(t, "content"))).alias("content")))
     return F.filter(both, lambda x: x["label"].isNotNull() & F.coalesce(x["content"] != "", F.lit(False)))
 
 
-def _first(tags: Column, label: str) -> Column:
-    return F.get(F.filter(tags, lambda x: x["label"] == label), F.lit(0))["content"]
-
-
 def page_doi(tags: Column) -> Column:
     """The DOI that meta tags tell."""
     dois = F.filter(F.transform(F.filter(tags, lambda x: x["label"].isin(*DOI_TAGS)), lambda x: doi_in_text(x["content"])), lambda d: d.isNotNull())
     return F.get(dois, F.lit(0))
 
 
+def _ranked(tags: Column, labels: tuple[str, ...], value) -> Column:  # noqa: ANN001
+    """The value of the tag of the best rank that has one, the first of equals."""
+    names = F.array(*map(F.lit, labels))
+    each = F.transform(tags, lambda x, i: F.struct(F.array_position(names, x["label"]).alias("rank"), i.alias("at"), value(x).alias("value")))
+    return F.array_min(F.filter(each, lambda x: (x["rank"] > 0) & x["value"].isNotNull()))["value"]
+
+
 def page_meta(html: Column, tags: Column) -> Column:
     """A struct (title, authors, year): titles by rank with the page's title last, authors in order, the first date's year."""
-    ranked = [_first(tags, t) if k < 2 else page_title(_first(tags, t)) for k, t in enumerate(TITLE_TAGS)]
-    any_title = F.exists(tags, lambda x: x["label"].isin(*TITLE_TAGS))
-    fallback = page_title(unescape_core(F.nullif(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))))
-    years = [F.nullif(F.regexp_extract(_first(tags, t), r"\b((?:19|20)\d{2})\b", 1), F.lit("")) for t in DATE_TAGS]
+    whole = F.array(*map(F.lit, TITLE_TAGS[:2]))  # these hold a title and nothing else
+    tagged = _ranked(tags, TITLE_TAGS, lambda x: F.when(F.array_contains(whole, x["label"]), x["content"]).otherwise(page_title(x["content"])))
+    written = F.substring_index(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<title(?:\s[^>]*)?>([^<]*)", 1), "<", 1)
+    year = _ranked(tags, DATE_TAGS, lambda x: F.nullif(F.regexp_extract(x["content"], r"\b((?:19|20)\d{2})\b", 1), F.lit("")))
     authors = F.transform(F.filter(tags, lambda x: x["label"].isin(*AUTHOR_TAGS)), lambda x: x["content"])
-    return F.struct(F.coalesce(*ranked, F.when(~any_title | F.coalesce(*ranked).isNull(), fallback)).alias("title"), authors.alias("authors"), F.coalesce(*years).alias("year"))
+    return F.struct(F.coalesce(tagged, page_title(unescape_core(F.nullif(written, F.lit(""))))).alias("title"), authors.alias("authors"), year.alias("year"))
 
 
 def usable_html(content_type: Column, html: Column, limit: int = 2_000_000) -> Column:

@@ -21,10 +21,15 @@ def substitute(value: object, env: dict[str, str] | None = None) -> object:
     return [substitute(v, env) for v in value] if isinstance(value, list) else value
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on any file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON table by an explicit schema; a missing path and broken rows give no rows."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(f"{schema}, _broken STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
     return rows.where("_broken IS NULL").drop("_broken")
@@ -45,6 +50,17 @@ def save_keys(findings: DataFrame, path: str) -> None:
     findings.select("key").distinct().orderBy("key").write.mode("overwrite").json(path)
 
 
+def save_table(df: DataFrame, path: str) -> None:
+    """Replace a table that may be read in its own making, such as a cache: it is written beside the old one, which it then replaces."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    fs.delete(hadoop(path), True)
+    if not fs.rename(hadoop(f"{path}.new"), hadoop(path)):
+        raise OSError(f"could not replace {path}")
+
+
 def upload_plan(files: DataFrame, stored: DataFrame, overwrite: bool = False) -> DataFrame:
     """Files with ``action``: create, replace or skip, by name."""
     have = stored.select("name").distinct().withColumn("_have", F.lit(True))

@@ -15,6 +15,7 @@ from vellum import schemas
 from vellum.functions.files import first_pdf
 from vellum.operators import archive
 from vellum.operators.archive import route
+from vellum.sources.tables import exists
 
 _OUT = "ts string, outcome string, text string, reply_ts string"
 _STATE = "text string, waiting boolean"
@@ -91,17 +92,12 @@ def _day() -> Column:
     return F.date_format(F.timestamp_seconds(F.col("ts").cast("decimal(20,6)")), "yyyy-MM-dd")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def append_once(batch: DataFrame, table_path: str, key: str = "ts") -> None:
     """Append the rows whose key a table doesn't have. The table is partitioned by the day of ``ts``, and only days that the batch
     touches are read, so the cost of a batch doesn't grow with the table. Repeating a batch, also after it was half written, adds what is missing."""
     spark = batch.sparkSession
     fresh = batch.dropDuplicates([key]).withColumn("day", _day())
-    if _exists(spark, table_path):
+    if exists(spark, table_path):
         # the days of a batch are few; the join on day lets the scan skip all other partitions
         there = spark.read.schema(f"{key} STRING, day STRING").parquet(table_path)
         fresh = fresh.join(there.join(F.broadcast(fresh.select("day").distinct()), "day", "left_semi"), [key, "day"], "left_anti")
