@@ -392,7 +392,16 @@ def feed_rss(spark: SparkSession, d: str) -> DataFrame:
     return feed.rss_feed(feed.items(_joined(spark, d)), "Bibliography", "https://feeds.example.org/", now=_now())
 
 
-@query()
+_ESC = r"""regexp_replace(replace(replace(replace(replace(coalesce({0}, ''), '\', '\\'), '{{', '\{{'), '}}', '\}}'), chr(10), ' '), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"""
+_BARE = r"""trim(regexp_replace(regexp_replace(regexp_replace({0}, '^"[\s\p{{Z}}]*(.*?)[\s\p{{Z}}]*"$', '\1'), '^"[\s\p{{Z}}]*(.*?)[\s\p{{Z}}]*"$', '\1'), '[\s\p{{Z}}]+', ' ', 'g'))"""
+_PLAIN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\\[a-zA-Z]+\{{([^}}]*)\}}', '\1', 'g'), '\\[a-zA-Z]+', '', 'g'), '\{{([^}}]*)\}}', '\1', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"""
+
+
+@query(
+    rf"""WITH b AS (SELECT coalesce(key, 'none') AS key, {', '.join(f"{_BARE.format(_ESC.format(c))} AS {n}" for c, n in (('title', 't'), ("array_to_string(authors, ' and ')", 'a'), ('year', 'y'), ('doi', 'd')))} FROM entries WHERE regexp_matches(coalesce(key, 'none'), '^[^\s,]+$'))
+    SELECT key, nullif({_PLAIN.format('t')}, '') AS title, array_to_string(list_filter(list_transform(string_split_regex(a, '(?i)[\s\p{{Z}}]+and[\s\p{{Z}}]+'), lambda x: {_PLAIN.format('x')}), lambda x: x <> ''), ' and ') AS authors,
+    CASE WHEN y <> '' THEN coalesce(nullif(regexp_extract(y, '\b((?:19|20)\d{{2}})\b', 1), ''), y) END AS year, nullif(trim(regexp_replace(d, '(?i)^(?:doi:)?(?:https?://)?(?:(?:dx\.)?doi\.org/)?', '')), '') AS doi FROM b"""
+)
 def bibtex_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "entries")
     none = F.array().cast("array<string>")
