@@ -72,6 +72,34 @@ def test_best_match_is_brute_force(spark):
     assert match.best_match(qd.limit(0), cd, 0.6).count() == 0
 
 
+def test_best_match_meets_titles_that_hold_others(spark):
+    import random
+
+    from vellum.functions.similarity import match_score
+    from vellum.functions.text import search_title
+
+    random.seed(3)
+    words = "the of nets net data panel a models model survey for urban rural deep".split()
+    some = lambda most: " ".join(random.choice(words) for _ in range(random.randint(1, most)))
+    whole = [some(9) for _ in range(60)]
+    part = lambda t: (lambda i: t[i : i + random.randint(3, 30)])(random.randint(0, len(t) // 2))
+    q = [(i, random.choice([part(random.choice(whole)), random.choice(whole), some(4)]), random.choice(["A B and C D", "X", None])) for i in range(120)]
+    c = [(i, 999 - i, random.choice([part(random.choice(whole)), random.choice(whole), some(4)]), random.choice([["A B"], ["X"], [], None]), random.choice([None, 4.0, 50.0])) for i in range(120)]
+    qd, cd = spark.createDataFrame(q, "qid int, title string, authors string"), spark.createDataFrame(c, "cid int, pos int, title string, authors array<string>, score double")
+    pairs = qd.withColumnsRenamed({"title": "t", "authors": "qa"}).crossJoin(cd).withColumns({"t": search_title(F.col("t")), "title": search_title(F.col("title"))})
+    for gate, boost in ((0.7, False), (0.6, False), (0.6, True), (0.95, False)):
+        every = pairs.select("qid", "cid", "pos", F.round(match_score(F.col("t"), F.col("title"), F.col("qa"), F.col("authors"), F.col("score") if boost else None), 9).alias("s"))
+        want = {r.qid: (r.m.cid, r.m.s) for r in every.where(F.col("s") > gate).groupBy("qid").agg(F.max(F.struct("s", (-F.col("pos")).alias("p"), "cid")).alias("m")).collect()}
+        assert {r.qid: (r.cid, r.score) for r in match.best_match(qd, cd, gate, boost=boost).collect()} == want and want
+
+
+def test_best_match_ranks_words_once(spark):
+    q = spark.createDataFrame([(1, "Deep nets", "A B")], "qid int, title string, authors string")
+    c = spark.createDataFrame([(1, 1, "Deep nets", ["A B"], None)], "cid int, pos int, title string, authors array<string>, score double")
+    plan = match.best_match(q, c)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 5 and plan.count("Generate") <= 12  # 29 and 72 before, with the ranking of both sides anew in each
+
+
 def test_payloads(spark):
     item = {"DOI": "10.1/x", "title": ["T"], "abstract": "<jats:p>Hi</jats:p>", "author": [{"given": "A", "family": "B"}, {"family": "C"}], "published-online": {"date-parts": [[2020, 3, 4]]}, "container-title": ["J"], "is-referenced-by-count": 0}
     df = spark.createDataFrame([(json.dumps(item),)], "v string").select(F.from_json("v", schemas.CROSSREF).alias("p")).select("p.*")

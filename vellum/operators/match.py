@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.similarity import author_similarity, set_similarity, word_set
+from vellum.functions.similarity import author_similarity, text_similarity, word_set
 from vellum.functions.text import search_title
+from vellum.session import stored
 
 #: Least score of a match and of its acceptance, by provider; whether the match gate itself passes. Fixed values.
 GATES = {"crossref": (0.7, 0.75, False), "openalex": (0.7, 0.7, True), "semantic_scholar": (0.6, 0.7, False), "arxiv": (0.6, 0.0, False)}
@@ -20,37 +21,72 @@ def accepted(provider: str, score: Column) -> Column:
     return ((score >= least) if inclusive else (score > least)) & (score > accept)
 
 
-def _ranked(df: DataFrame, key: str, words: str, frequency: DataFrame) -> DataFrame:
-    """Words of each row from the rarest on."""
-    each = df.select(key, F.size(words).alias("_n"), F.explode(words).alias("_w")).join(frequency, "_w")
-    return each.groupBy(key, "_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_df", "_w"))), lambda x: x["_w"]).alias("_r"))
+#: What a signature may do: meet one of a similar title; stand for a title that is held; stand for one that holds.
+NEAR, HELD, HOLDS = 1, 2, 4
 
 
-def _rarest(ranked: DataFrame, key: str, must: Column, side: str) -> DataFrame:
-    """Rarest words of a row, with one more than any row that shares ``must`` of its words must have one of."""
-    few = must < 2
-    take = F.least(F.greatest(F.col("_n") - must + F.when(few, 1).otherwise(2), F.lit(1)), F.col("_n")).cast("int")
-    return ranked.select(key, F.col("_n").alias(f"_{side}n"), few.alias("_few"), F.slice("_r", 1, take).alias("_p"))
+def _texts(q: DataFrame, c: DataFrame) -> DataFrame:
+    """id, text, in_q, in_c: the distinct titles of both sides that have words, each with a number."""
+    both = q.select("text", F.lit(True).alias("in_q"), F.lit(False).alias("in_c")).unionByName(c.select("text", F.lit(False).alias("in_q"), F.lit(True).alias("in_c")))
+    each = both.groupBy("text").agg(F.max("in_q").alias("in_q"), F.max("in_c").alias("in_c"))
+    return each.withColumn("id", F.monotonically_increasing_id())
 
 
-def _singles(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_s", F.explode(F.transform("_p", lambda w: F.xxhash64(w)))).drop("_p", "_few")
+def _ranked(texts: DataFrame) -> DataFrame:
+    """id, in_q, in_c, n, gone, bits, r, inner, short, at: hashes of the words of each title that both sides have, r, by how many pairs share them.
 
-
-def _twos(rows: DataFrame) -> DataFrame:
-    pairs = F.flatten(F.transform("_p", lambda w, i: F.transform(F.slice("_p", i + 2, F.greatest(F.size("_p"), F.lit(1))), lambda v: F.xxhash64(F.least(w, v), F.greatest(w, v)))))
-    return rows.where("NOT _few").withColumn("_s", F.explode(F.array_distinct(pairs))).drop("_p", "_few")
-
-
-def _meet(q: DataFrame, c: DataFrame, share: float) -> DataFrame:
-    """qid, cid of rows that may share enough words.
-
-    Two rows that must share two words or more have two of their rarest in common, so they meet on pairs of words; only
-    rows for which one word may do meet others on single words.
+    n counts all words, gone those of one side only, which stand before all others in the order; bits has a bit for each word. inner are the words within the
+    title's ends in their order, at the place of the rarest word and a neighbour in them, and short are titles without a word there.
     """
-    sizes = (F.col("_qn") >= F.floor(F.lit(share) * F.col("_cn"))) & (F.col("_cn") >= F.floor(F.lit(share) * F.col("_qn")))
-    joins = [(_twos(q), _twos(c)), (_singles(q.where("_few")), _singles(c)), (_singles(q.where("NOT _few")), _singles(c.where("_few")))]
-    return reduce(DataFrame.unionByName, [a.join(b, "_s").where(sizes).select("qid", "cid") for a, b in joins])
+    words = texts.select("id", "in_q", "in_c", F.explode(F.transform(word_set(F.col("text")), lambda w: F.xxhash64(w))).alias("w"))
+    pairs = words.groupBy("w").agg((F.count_if("in_q").cast("double") * F.count_if("in_c")).alias("pairs"))
+    bit = F.expr("shiftleft(1L, CAST(pmod(w, 64) AS int))")
+    of = words.select("id", "w").join(pairs, "w").groupBy("id").agg(
+        F.count("*").cast("int").alias("n"), F.count_if(F.col("pairs") == 0).cast("int").alias("gone"), F.bit_or(bit).alias("bits"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("pairs") > 0, F.struct("pairs", "w")))), lambda x: x["w"]).alias("r"), F.collect_list(F.when(F.col("pairs") == 0, F.col("w"))).alias("lone"),
+    )
+    tokens = F.split("text", " ")
+    inner = F.transform(F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))), lambda w: F.xxhash64(w))
+    rows = of.join(texts.select("id", "in_q", "in_c", inner.alias("inner")), "id")
+    rarest = F.get(F.filter("r", lambda w: F.array_contains("inner", w)), F.lit(0))
+    short = (F.size("inner") < 2) | (rarest.isNull() & ~F.arrays_overlap("inner", "lone"))
+    at = F.when(~short & ~F.arrays_overlap("inner", "lone"), F.least(F.array_position("inner", rarest).cast("int"), F.size("inner") - 1))
+    return rows.select("id", "in_q", "in_c", "n", "gone", "bits", "r", "inner", short.alias("short"), at.alias("at"))
+
+
+def _signatures(ranked: DataFrame, need: float, wide: float) -> DataFrame:
+    """s, id, n, bits, x: what a title of one side meets those of the other side by, and what for (x).
+
+    Two titles that must share two words or more have two of their rarest in common, so they meet on pairs of words; only where one
+    word may do for both they meet on single words. A title within another one has all of its inner words there, in their order, and
+    meets it on one pair of neighbours; one without a word to do so is short and so is what holds it, and they meet on words.
+    """
+    must = lambda share: F.ceil(F.lit(share) * F.col("n") - 1e-9)
+    prefix = lambda share: (F.least(F.col("n") - F.greatest(must(share), F.lit(2)) + 2, F.col("n")) - F.col("gone")).cast("int")
+    roles = lambda near, holds: F.when(near, NEAR).otherwise(0) + F.when(holds, F.when(F.col("short"), HELD + HOLDS).otherwise(HOLDS)).otherwise(0)
+    rows = ranked.withColumns({"near": prefix(need), "wide": F.when(wide * F.col("n") <= 3 + 1e-9, prefix(wide)).otherwise(0)})
+    own = ("id", "n", "bits")
+    first = rows.select(*own, "short", "near", "wide", F.slice("r", 1, F.greatest("near", "wide", F.lit(0))).alias("p")).select("*", F.posexplode("p").alias("_", "w"))
+    second = first.select(*own, "short", "near", "wide", "w", "_", F.posexplode(F.slice("p", F.col("_") + 2, F.size("p"))).alias("j", "v"))
+    at = F.col("_") + F.col("j") + 2
+    twos = second.select(F.xxhash64(F.lit(2), "w", "v").alias("s"), *own, roles(at <= F.col("near"), at <= F.col("wide")).alias("x"))
+    one = rows.where(must(wide) < 2).select(*own, F.explode("r").alias("w"), roles(must(need) < 2, F.lit(True)).alias("x"))
+    ones = one.select(F.xxhash64(F.lit(1), "w").alias("s"), *own, "x")
+    within = rows.where("NOT short").select(*own, "inner", "at", F.posexplode("inner").alias("i", "w")).where(F.col("i") < F.size("inner") - 1)
+    neighbours = within.select(F.xxhash64(F.lit(3), "w", F.get("inner", F.col("i") + 1)).alias("s"), *own, F.when(F.col("i") + 1 == F.col("at"), HELD + HOLDS).otherwise(HOLDS).alias("x"))
+    return reduce(DataFrame.unionByName, [twos, ones, neighbours]).where("x > 0")
+
+
+def _meet(ranked: DataFrame, need: float, wide: float) -> DataFrame:
+    """q, c: numbers of titles of the two sides that may be similar enough. Bits of one title only bound from below what the titles differ by."""
+    side = lambda name, of: _signatures(ranked.where(of), need, wide).select("s", *[F.col(k).alias(f"{name}_{k}") for k in ("id", "n", "bits", "x")])
+    both = F.col("q_n") + F.col("c_n")
+    differ = F.bit_count(F.col("q_bits").bitwiseXOR(F.col("c_bits")))
+    like = lambda share: (differ <= both * ((1 - share) / (1 + share)) + 1e-9) & (F.least("q_n", "c_n") >= share * F.greatest("q_n", "c_n") - 1e-9)
+    is_ = lambda c, role: F.col(c).bitwiseAND(F.lit(role)) > 0
+    held = (is_("q_x", HELD) & is_("c_x", HOLDS)) | (is_("q_x", HOLDS) & is_("c_x", HELD))
+    met = side("q", "in_q").join(side("c", "in_c"), "s").where((F.col("q_id") != F.col("c_id")) & ((is_("q_x", NEAR) & is_("c_x", NEAR) & like(need)) | (held & like(wide))))
+    return met.select(F.col("q_id").alias("q"), F.col("c_id").alias("c")).distinct().unionByName(ranked.where("in_q AND in_c").select(F.col("id").alias("q"), F.col("id").alias("c")))
 
 
 def best_match(queries: DataFrame, candidates: DataFrame, gate: float = 0.7, inclusive: bool = False, boost: bool = False, title: str = "title") -> DataFrame:
@@ -58,32 +94,30 @@ def best_match(queries: DataFrame, candidates: DataFrame, gate: float = 0.7, inc
 
     queries: qid, title, authors (joined by " and " or NULL); candidates: cid, pos, title, authors (array), score (NULL).
     The gate bounds the Jaccard similarity that a pair must have, less where one title holds the other, and prefix
-    filtering on the rarest words finds every such pair without comparing all; nothing is capped.
+    filtering on the rarest words finds every such pair without comparing all; nothing is capped. Titles are compared once
+    for all rows that have them, and their words are ranked once and written.
     """
     need = max((gate - 0.3 - (0.1 if boost else 0.0)) / 0.7, 0.01)
-    q = queries.withColumn("_t", search_title(F.col(title))).withColumn("_qw", word_set(F.col("_t"))).where(F.size("_qw") > 0)
-    c = candidates.withColumn("_u", search_title(F.col(title))).withColumn("_cw", word_set(F.col("_u"))).where(F.size("_cw") > 0)
-    frequency = q.select(F.explode("_qw").alias("_w")).unionByName(c.select(F.explode("_cw").alias("_w"))).groupBy("_w").agg(F.count("*").alias("_df"))
-    qr, cr = _ranked(q, "qid", "_qw", frequency), _ranked(c, "cid", "_cw", frequency)
-    by_share = lambda share: F.ceil(F.lit(share) * F.col("_n"))
-    held = F.greatest(F.col("_n") - 2, F.lit(1))  # all words but the outer two of a text are whole in one that holds it
     wide = max(need - 0.2, 0.01)  # a title that holds the other has a bonus
-    q_near, c_near = _rarest(qr, "qid", by_share(need), "q"), _rarest(cr, "cid", by_share(need), "c")
-    q_wide, c_wide = _rarest(qr, "qid", by_share(wide), "q"), _rarest(cr, "cid", by_share(wide), "c")
-    near_pairs = _meet(q_near, c_near, need).withColumn("_held", F.lit(False))
-    held_pairs = _meet(q_wide, _rarest(cr, "cid", held, "c"), wide).unionByName(_meet(_rarest(qr, "qid", held, "q"), c_wide, wide)).withColumn("_held", F.lit(True))
-    pairs = near_pairs.unionByName(held_pairs).groupBy("qid", "cid").agg(F.min("_held").alias("_held"))
-    joined = pairs.join(q.select("qid", "_t", "_qw", F.col("authors").alias("_qa")), "qid").join(c.select("cid", "pos", "_u", "_cw", F.col("authors").alias("_ca"), F.col("score").alias("_s")), "cid")
-    joined = joined.where(~F.col("_held") | F.lower("_t").contains(F.lower("_u")) | F.lower("_u").contains(F.lower("_t")))
-    extra = F.least(F.coalesce("_s", F.lit(0.0)) / 100, F.lit(0.1)) if boost else F.lit(0.0)
+    lower = F.lower(search_title(F.col(title)))
+    q = queries.select("qid", lower.alias("text"), F.col("authors").alias("_qa")).where(F.size(word_set(F.col("text"))) > 0)
+    c = candidates.select("cid", "pos", lower.alias("text"), F.col("authors").alias("_ca"), F.col("score").alias("_s")).where(F.size(word_set(F.col("text"))) > 0)
+    texts = stored(_texts(q, c))
+    ranked = stored(_ranked(texts))
+    named = lambda name, k: texts.select(F.col("id").alias(name), F.col("text").alias(k))
+    met = _meet(ranked, need, wide).join(named("q", "_t"), "q").join(named("c", "_u"), "c")
     # titles decide first; authors are compared only where they can still lift a pair over the gate
-    titled = joined.select("qid", "cid", "pos", "_qa", "_ca", extra.alias("_x"), set_similarity(F.col("_t"), F.col("_u"), F.col("_qw"), F.col("_cw")).alias("_ts"))
-    near = titled.where(0.7 * F.col("_ts") + 0.3 + F.col("_x") + 1e-9 > gate)
+    most = 0.3 + (0.1 if boost else 0.0) + 1e-9
+    titled = met.select("_t", "_u", text_similarity(F.col("_t"), F.col("_u")).alias("_ts")).where(0.7 * F.col("_ts") + most > gate)
+    first = c.groupBy("text", "_ca", "_s").agg(F.max(F.struct((-F.col("pos")).alias("p"), "cid")).alias("_c"))
+    extra = F.least(F.coalesce("_s", F.lit(0.0)) / 100, F.lit(0.1)) if boost else F.lit(0.0)
+    joined = titled.join(first.withColumnRenamed("text", "_u"), "_u").join(q.withColumnRenamed("text", "_t"), "_t").withColumn("_x", extra)
+    near = joined.where(0.7 * F.col("_ts") + 0.3 + F.col("_x") + 1e-9 > gate)
     score = 0.7 * F.col("_ts") + 0.3 * author_similarity(F.col("_qa"), F.col("_ca")) + F.col("_x")
-    scored = near.select("qid", "cid", "pos", F.round(score, 9).alias("score"))
+    scored = near.select("qid", "_c", F.round(score, 9).alias("score"))
     scored = scored.where(F.col("score") >= gate if inclusive else F.col("score") > gate)
-    top = scored.groupBy("qid").agg(F.max(F.struct("score", (-F.col("pos")).alias("p"), "cid")).alias("m"))
-    return top.select("qid", F.col("m.cid").alias("cid"), F.col("m.score").alias("score"))
+    top = scored.groupBy("qid").agg(F.max(F.struct("score", "_c")).alias("m"))
+    return top.select("qid", F.col("m._c.cid").alias("cid"), F.col("m.score").alias("score"))
 
 
 def first_provider(results: list[tuple[str, DataFrame]], key: str = "key") -> DataFrame:
