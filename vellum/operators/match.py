@@ -21,8 +21,9 @@ def accepted(provider: str, score: Column) -> Column:
     return ((score >= least) if inclusive else (score > least)) & (score > accept)
 
 
-#: What a signature may do: meet one of a similar title; stand for a title that is held; stand for one that holds.
-NEAR, HELD, HOLDS = 1, 2, 4
+def _hashes(c: Column) -> Column:
+    """Numbers of the words of a text."""
+    return F.transform(word_set(c), lambda w: F.xxhash64(w))
 
 
 def _texts(q: DataFrame, c: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def _ranked(texts: DataFrame) -> DataFrame:
     n counts all words, gone those of one side only, which stand before all others in the order; bits has a bit for each word. inner are the words within the
     title's ends in their order, at the place of the rarest word and a neighbour in them, and short are titles without a word there.
     """
-    words = texts.select("id", "in_q", "in_c", F.explode(F.transform(word_set(F.col("text")), lambda w: F.xxhash64(w))).alias("w"))
+    words = texts.select("id", "in_q", "in_c", F.explode(_hashes(F.col("text"))).alias("w"))
     pairs = words.groupBy("w").agg((F.count_if("in_q").cast("double") * F.count_if("in_c")).alias("pairs"))
     bit = F.expr("shiftleft(1L, CAST(pmod(w, 64) AS int))")
     of = words.select("id", "w").join(pairs, "w").groupBy("id").agg(
@@ -54,38 +55,50 @@ def _ranked(texts: DataFrame) -> DataFrame:
     return rows.select("id", "in_q", "in_c", "n", "gone", "bits", "r", "inner", short.alias("short"), at.alias("at"))
 
 
-def _signatures(ranked: DataFrame, need: float, wide: float) -> DataFrame:
-    """s, id, n, bits, x: what a title of one side meets those of the other side by, and what for (x).
+def _sets(rows: DataFrame, size: int, kind: int) -> DataFrame:
+    """s, and the columns of rows but p: each set of so many of the words p, as a number."""
+    keep = [c for c in rows.columns if c != "p"]
+    out = rows.where(F.size("p") >= size).select(*keep, F.posexplode("p").alias("_i", "_w1"), "p")
+    for k in range(2, size + 1):
+        words = [f"_w{i}" for i in range(1, k)]
+        rest = out.select(*keep, *words, F.col("_i").alias("_h"), "p", F.posexplode(F.slice("p", F.col("_i") + 2, F.size("p"))).alias("_j", f"_w{k}"))
+        out = rest.select(*keep, *words, f"_w{k}", (F.col("_h") + F.col("_j") + 1).alias("_i"), "p")
+    of = [F.col("d")] if "d" in keep else []
+    return out.select(F.xxhash64(F.lit(kind), *of, *[f"_w{i}" for i in range(1, size + 1)]).alias("s"), *keep)
+
+
+def _signatures(ranked: DataFrame, need: float, wide: float, side: int) -> DataFrame:
+    """s, id, n, bits, near: what a title of one side meets those of the other side by.
 
     Two titles that must share two words or more have two of their rarest in common, so they meet on pairs of words; only where one
-    word may do for both they meet on single words. A title within another one has all of its inner words there, in their order, and
-    meets it on one pair of neighbours; one without a word to do so is short and so is what holds it, and they meet on words.
+    word may do for both they meet on single words.
+    A title within another one has all of its inner words there, in their order, and meets it on one pair of neighbours; one
+    without a word to do so is short, as is what holds it, and they meet on words. A title that is held meets only those that may hold it (d: which side's is held).
     """
-    must = lambda share: F.ceil(F.lit(share) * F.col("n") - 1e-9)
-    prefix = lambda share: (F.least(F.col("n") - F.greatest(must(share), F.lit(2)) + 2, F.col("n")) - F.col("gone")).cast("int")
-    roles = lambda near, holds: F.when(near, NEAR).otherwise(0) + F.when(holds, F.when(F.col("short"), HELD + HOLDS).otherwise(HOLDS)).otherwise(0)
-    rows = ranked.withColumns({"near": prefix(need), "wide": F.when(wide * F.col("n") <= 3 + 1e-9, prefix(wide)).otherwise(0)})
+    must = lambda share: F.greatest(F.ceil(F.lit(share) * F.col("n") - 1e-9), F.lit(1))
+    rarest = lambda shared, k: F.slice("r", 1, F.greatest(F.least(F.col("n") - shared + k, F.col("n")) - F.col("gone"), F.lit(0)).cast("int"))
+    at_least = lambda share, k: F.greatest(must(share), F.lit(k))
     own = ("id", "n", "bits")
-    first = rows.select(*own, "short", "near", "wide", F.slice("r", 1, F.greatest("near", "wide", F.lit(0))).alias("p")).select("*", F.posexplode("p").alias("_", "w"))
-    second = first.select(*own, "short", "near", "wide", "w", "_", F.posexplode(F.slice("p", F.col("_") + 2, F.size("p"))).alias("j", "v"))
-    at = F.col("_") + F.col("j") + 2
-    twos = second.select(F.xxhash64(F.lit(2), "w", "v").alias("s"), *own, roles(at <= F.col("near"), at <= F.col("wide")).alias("x"))
-    one = rows.where(must(wide) < 2).select(*own, F.explode("r").alias("w"), roles(must(need) < 2, F.lit(True)).alias("x"))
-    ones = one.select(F.xxhash64(F.lit(1), "w").alias("s"), *own, "x")
-    within = rows.where("NOT short").select(*own, "inner", "at", F.posexplode("inner").alias("i", "w")).where(F.col("i") < F.size("inner") - 1)
-    neighbours = within.select(F.xxhash64(F.lit(3), "w", F.get("inner", F.col("i") + 1)).alias("s"), *own, F.when(F.col("i") + 1 == F.col("at"), HELD + HOLDS).otherwise(HOLDS).alias("x"))
-    return reduce(DataFrame.unionByName, [twos, ones, neighbours]).where("x > 0")
+    near = [_sets(ranked.where(must(need) < 2).select(*own, F.col("r").alias("p")), 1, 1)]
+    near += [_sets(ranked.select(*own, rarest(at_least(need, 2), 2).alias("p")), 2, 2)]
+    role = lambda held, holds: F.explode(F.array_compact(F.array(F.when(held, side), F.when(holds, 1 - side)))).alias("d")
+    words = ranked.where(F.col("short") | (wide * F.col("n") <= 3 + 1e-9)).select("*", role(F.col("short"), wide * F.col("n") <= 3 + 1e-9))
+    held = [_sets(words.select(*own, "d", rarest(at_least(wide, 2), 2).alias("p")), 2, 5), _sets(words.where(must(wide) < 2).select(*own, "d", F.col("r").alias("p")), 1, 6)]
+    within = ranked.where("NOT short").select(*own, "inner", "at", F.posexplode("inner").alias("i", "w")).where(F.col("i") < F.size("inner") - 1)
+    each = within.select(*own, "w", F.get("inner", F.col("i") + 1).alias("v"), role(F.col("i") + 1 == F.col("at"), F.lit(True)))
+    held += [each.select(F.xxhash64(F.lit(7), "d", "w", "v").alias("s"), *own)]
+    parts = [df.select("s", *own, F.lit(True).alias("near")) for df in near] + [df.select("s", *own, F.lit(False).alias("near")) for df in held]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _meet(ranked: DataFrame, need: float, wide: float) -> DataFrame:
     """q, c: numbers of titles of the two sides that may be similar enough. Bits of one title only bound from below what the titles differ by."""
-    side = lambda name, of: _signatures(ranked.where(of), need, wide).select("s", *[F.col(k).alias(f"{name}_{k}") for k in ("id", "n", "bits", "x")])
+    side = lambda k, name, of: _signatures(ranked.where(of), need, wide, k).select("s", *[F.col(x).alias(f"{name}_{x}") for x in ("id", "n", "bits", "near")])
     both = F.col("q_n") + F.col("c_n")
     differ = F.bit_count(F.col("q_bits").bitwiseXOR(F.col("c_bits")))
-    like = lambda share: (differ <= both * ((1 - share) / (1 + share)) + 1e-9) & (F.least("q_n", "c_n") >= share * F.greatest("q_n", "c_n") - 1e-9)
-    is_ = lambda c, role: F.col(c).bitwiseAND(F.lit(role)) > 0
-    held = (is_("q_x", HELD) & is_("c_x", HOLDS)) | (is_("q_x", HOLDS) & is_("c_x", HELD))
-    met = side("q", "in_q").join(side("c", "in_c"), "s").where((F.col("q_id") != F.col("c_id")) & ((is_("q_x", NEAR) & is_("c_x", NEAR) & like(need)) | (held & like(wide))))
+    share = F.when(F.col("q_near"), need).otherwise(wide)
+    like = (differ <= both * F.when(F.col("q_near"), (1 - need) / (1 + need)).otherwise((1 - wide) / (1 + wide)) + 1e-9) & (F.least("q_n", "c_n") >= share * F.greatest("q_n", "c_n") - 1e-9)
+    met = side(0, "q", "in_q").join(side(1, "c", "in_c"), "s").where(like & (F.col("q_id") != F.col("c_id")))
     return met.select(F.col("q_id").alias("q"), F.col("c_id").alias("c")).distinct().unionByName(ranked.where("in_q AND in_c").select(F.col("id").alias("q"), F.col("id").alias("c")))
 
 
@@ -100,7 +113,7 @@ def best_match(queries: DataFrame, candidates: DataFrame, gate: float = 0.7, inc
     need = max((gate - 0.3 - (0.1 if boost else 0.0)) / 0.7, 0.01)
     wide = max(need - 0.2, 0.01)  # a title that holds the other has a bonus
     lower = F.lower(search_title(F.col(title)))
-    q = queries.select("qid", lower.alias("text"), F.col("authors").alias("_qa")).where(F.size(word_set(F.col("text"))) > 0)
+    q = queries.select("qid", lower.alias("text"), F.col("authors").alias("_qa"), _hashes(F.col("authors")).alias("_qw")).where(F.size(word_set(F.col("text"))) > 0)
     c = candidates.select("cid", "pos", lower.alias("text"), F.col("authors").alias("_ca"), F.col("score").alias("_s")).where(F.size(word_set(F.col("text"))) > 0)
     texts = stored(_texts(q, c))
     ranked = stored(_ranked(texts))
@@ -109,10 +122,12 @@ def best_match(queries: DataFrame, candidates: DataFrame, gate: float = 0.7, inc
     # titles decide first; authors are compared only where they can still lift a pair over the gate
     most = 0.3 + (0.1 if boost else 0.0) + 1e-9
     titled = met.select("_t", "_u", text_similarity(F.col("_t"), F.col("_u")).alias("_ts")).where(0.7 * F.col("_ts") + most > gate)
-    first = c.groupBy("text", "_ca", "_s").agg(F.max(F.struct((-F.col("pos")).alias("p"), "cid")).alias("_c"))
+    first = c.groupBy("text", "_ca", "_s").agg(F.max(F.struct((-F.col("pos")).alias("p"), "cid")).alias("_c")).withColumn("_cw", _hashes(F.array_join("_ca", " ")))
     extra = F.least(F.coalesce("_s", F.lit(0.0)) / 100, F.lit(0.1)) if boost else F.lit(0.0)
     joined = titled.join(first.withColumnRenamed("text", "_u"), "_u").join(q.withColumnRenamed("text", "_t"), "_t").withColumn("_x", extra)
-    near = joined.where(0.7 * F.col("_ts") + 0.3 + F.col("_x") + 1e-9 > gate)
+    # names that share no word are similar to 0.2 at most, where one holds the other
+    names = F.when(F.arrays_overlap("_qw", "_cw"), 0.3).otherwise(0.06)
+    near = joined.where(0.7 * F.col("_ts") + names + F.col("_x") + 1e-9 > gate)
     score = 0.7 * F.col("_ts") + 0.3 * author_similarity(F.col("_qa"), F.col("_ca")) + F.col("_x")
     scored = near.select("qid", "_c", F.round(score, 9).alias("score"))
     scored = scored.where(F.col("score") >= gate if inclusive else F.col("score") > gate)
