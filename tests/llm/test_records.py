@@ -1,6 +1,7 @@
 """Operators on records: survivors, formatting duplicates, names, linkage."""
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
@@ -255,3 +256,47 @@ def test_one_wrong_link_brings_no_product(spark):
     got = published(spark, e, w)
     assert {(i, j) for k in (0, 10) for i in range(k, k + 5) for j in range(k, k + 5)} <= got
     assert not any(i < 50 and (i < 10) != (j < 10) for i, j in got)
+
+
+def test_words_of_a_pair_are_compared_once(spark):
+    kinds = ", ".join(f"{s} bigint, {s}_t array<bigint>, {s}_tt float, {s}_p array<bigint>, {s}_pt float, {s}_year int, {s}_mark string" for s in "lr")
+    met = spark.createDataFrame([], kinds)
+    near = linkage.confidence(met.where("l < 5").drop("r", *[c for c in met.columns if c[0] == "r"]).join(met.drop(*[c for c in met.columns if c[0] == "l"]), F.col("l") == F.col("r")))
+    plan = near.where("conf >= 0.5").select("l", "r", "conf", "apart")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("array_intersect") == 2
+
+
+def test_meeting_equals_all_pairs_at_any_lot(spark, monkeypatch):
+    few, purge = 2, 3
+    sizes = [(0, 4), (30, 0), (1, 1), (1, 2), (1, 3), (2, 2), (2, 1), (9, 1), (1, 9), (20, 20), (3, 1)]
+    rows = [(997 * (11 * k + i) % 1009, 1000 * i + n, 2 * k + s) for k in (0, 1) for i, x in enumerate(sizes) for s in (0, 1) for n in range(x[s])]
+    want, by = set(), {}
+    for a, node, tag in rows:
+        by.setdefault((a, tag > 1), ([], []))[tag & 1].append(node)
+    for (a, run), (l, r) in by.items():
+        n = len(l) * len(r)
+        if 0 < n <= (few if run else purge):
+            want |= {(linkage.PAIR, False, x, y, round(math.log(1e6 / n) + (0 if run else linkage.NAMED), 6)) for x in l for y in r}
+            want |= {(linkage.HELD, s, x, x, 0.0) for s, side in enumerate((l, r)) for x in side if run}
+        elif n:
+            want |= {(linkage.OFTEN, bool(s), x, a, 0.0) for s, side in enumerate((l, r)) for x in side} if run else {(linkage.FAR, False, a, a, 0.0)}
+    df = spark.createDataFrame(rows, "a bigint, node bigint, tag tinyint")
+    for lot, batch in ((1 << 17, 10_000), (6, 3), (6, 7)):
+        monkeypatch.setattr(linkage, "LOT", lot)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = linkage._grouped(df, "a", linkage._meeter(few, purge), linkage._MET, parts=True).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {(x.kind, x.r, x.x, x.y, round(x.told, 6)) for x in got} == want
+        assert sum(x.kind in (linkage.PAIR, linkage.OFTEN) for x in got) == sum(x[0] in (linkage.PAIR, linkage.OFTEN) for x in want)
+
+
+def test_frequent_runs_are_gathered_by_node(spark):
+    known, alien = 7 * linkage.UNIT + 5, 8 * linkage.UNIT + linkage.ALIEN
+    tag = lambda kind, right: 2 * kind + right
+    rows = [(1, tag(0, 0), 0, [known, alien]), (1, tag(0, 1), 0, [alien]), (1, tag(linkage.OFTEN, 0), 50, None), (1, tag(linkage.OFTEN, 0), 51, None), (1, tag(linkage.OFTEN, 1), 50, None), (1, tag(linkage.HELD, 1), 1, None)]
+    rows += [(2, tag(0, 0), 0, [known]), (2, tag(linkage.HELD, 0), 2, None), (3, tag(0, 1), 0, []), (3, tag(linkage.OFTEN, 1), 52, None)]
+    df = spark.createDataFrame(rows, "node bigint, tag tinyint, b bigint, p array<bigint>")
+    got = {(x.node, x.r): (x.alone, sorted(x.b), x.w) for x in linkage._grouped(df, "node", linkage._gather, linkage._GATHERED).collect()}
+    assert got == {(1, False): (True, [50, 51], [known]), (1, True): (False, [50], []), (3, True): (True, [52], [])}
