@@ -100,6 +100,20 @@ def test_best_match_ranks_words_once(spark):
     assert plan.count("Join") <= 5 and plan.count("Generate") <= 40  # 29 and 72 before, with the ranking of both sides anew in each
 
 
+def test_best_match_shuffles_in_proportion_to_its_rows(spark):
+    def stages():
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    title = lambda of: f"rural schools and old panel data: survey of {of} {of}x"
+    q = spark.createDataFrame([(i, title(f"q{i}"), f"Ann Q{i}") for i in range(600)], "qid int, title string, authors string")
+    c = spark.createDataFrame([(i, i, title(f"c{i}"), [f"Ann C{i}" if i else "Ann Q7"], None) for i in range(600)], "cid int, pos int, title string, authors array<string>, score double")
+    before = max(stages(), default=-1)
+    assert [(r.qid, r.cid, r.score) for r in match.best_match(q, c).collect()] == [(7, 0, 0.72)]
+    assert sum(n for k, n in stages().items() if k > before) < 50 * 1200
+
+
 def test_payloads(spark):
     item = {"DOI": "10.1/x", "title": ["T"], "abstract": "<jats:p>Hi</jats:p>", "author": [{"given": "A", "family": "B"}, {"family": "C"}], "published-online": {"date-parts": [[2020, 3, 4]]}, "container-title": ["J"], "is-referenced-by-count": 0}
     df = spark.createDataFrame([(json.dumps(item),)], "v string").select(F.from_json("v", schemas.CROSSREF).alias("p")).select("p.*")

@@ -31,11 +31,26 @@ def text_similarity(a: Column, b: Column) -> Column:
     return set_similarity(a, b, word_set(a), word_set(b))
 
 
+def listed(query: Column) -> Column:
+    """The names of a list joined by "and"."""
+    return F.transform(F.split(F.coalesce(query, F.lit("")), " and "), strip)
+
+
+def named(names: Column) -> Column:
+    """Names that have words, in lower case (a), with their words (w); none if the array is missing."""
+    each = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda a: F.struct(F.lower(a).alias("a"), word_set(a).alias("w")))
+    return F.filter(each, lambda x: F.size(x["w"]) > 0)
+
+
+def names_similarity(query: Column, names: Column) -> Column:
+    """The best similarity between two names of such arrays; 0 if either has none."""
+    each = F.flatten(F.transform(query, lambda q: F.transform(names, lambda p: set_similarity(q["a"], p["a"], q["w"], p["w"]))))
+    return F.coalesce(F.array_max(each), F.lit(0.0))
+
+
 def author_similarity(query: Column, authors: Column) -> Column:
     """The best similarity between a name of a list joined by "and" and a name of an array; 0 if either is missing."""
-    names = F.transform(F.split(F.coalesce(query, F.lit("")), " and "), strip)
-    each = F.flatten(F.transform(names, lambda q: F.transform(F.coalesce(authors, F.array().cast("array<string>")), lambda p: text_similarity(q, p))))
-    return F.when(present(query), F.coalesce(F.array_max(each), F.lit(0.0))).otherwise(0.0)
+    return names_similarity(named(listed(query)), named(authors))
 
 
 def full_names(authors: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.similarity import author_similarity, text_similarity, word_set
+from vellum.functions.similarity import listed, named, names_similarity, text_similarity, word_set
 from vellum.functions.text import search_title
 from vellum.session import stored
 
@@ -21,38 +21,43 @@ def accepted(provider: str, score: Column) -> Column:
     return ((score >= least) if inclusive else (score > least)) & (score > accept)
 
 
+#: Names that share one word of two each are similar to this at most, with the bonus where one holds the other.
+ONE_WORD = 1 / 3 + 0.2
+#: Words of the sets that titles meet on, tokens of the runs that a held title meets its holders on, and the size beyond which titles meet on single words.
+SET, RUN, LONG = 3, 4, 48
+#: Pairs of rows beyond which what names share is met together with a word of the title, and the words up to which their table is sent to all tasks. Results don't depend on either.
+HOT, SENT = 100_000, 500_000
+
+
 def _hashes(c: Column) -> Column:
     """Numbers of the words of a text."""
     return F.transform(word_set(c), lambda w: F.xxhash64(w))
 
 
-def _texts(q: DataFrame, c: DataFrame) -> DataFrame:
-    """id, text, in_q, in_c: the distinct titles of both sides that have words, each with a number."""
-    both = q.select("text", F.lit(True).alias("in_q"), F.lit(False).alias("in_c")).unionByName(c.select("text", F.lit(False).alias("in_q"), F.lit(True).alias("in_c")))
-    each = both.groupBy("text").agg(F.max("in_q").alias("in_q"), F.max("in_c").alias("in_c"))
-    return each.withColumn("id", F.monotonically_increasing_id())
-
-
 def _ranked(texts: DataFrame) -> DataFrame:
-    """id, in_q, in_c, n, gone, bits, r, inner, short, at: hashes of the words of each title that both sides have, r, by how many pairs share them.
+    """id, text, in_q, in_c, n, gone, bits, r, short, at: hashes of the words of each title that both sides have, r, by how many pairs share them.
 
-    n counts all words, gone those of one side only, which stand before all others in the order; bits has a bit for each word. inner are the words within the
-    title's ends in their order, at the place of the rarest word and a neighbour in them, and short are titles without a word there.
+    n counts all words, gone those of one side only, which stand before all others in the order; bits has a bit for each word. at is the place of the rarest
+    word within the title's ends, and short are titles without a word there; at is missing where the other side lacks a word that is within.
     """
-    words = texts.select("id", "in_q", "in_c", F.explode(_hashes(F.col("text"))).alias("w"))
-    pairs = words.groupBy("w").agg((F.count_if("in_q").cast("double") * F.count_if("in_c")).alias("pairs"))
+    words = lambda t: t.select("id", "in_q", "in_c", F.explode(_hashes(F.col("text"))).alias("w"))
+    pairs = stored(words(texts).groupBy("w").agg((F.count_if("in_q").cast("double") * F.count_if("in_c")).alias("pairs")))
     bit = F.expr("shiftleft(1L, CAST(pmod(w, 64) AS int))")
-    of = words.select("id", "w").join(pairs, "w").groupBy("id").agg(
+    of = words(texts.repartition("id")).select("id", "w").join(F.broadcast(pairs) if pairs.count() <= SENT else pairs, "w").groupBy("id").agg(
         F.count("*").cast("int").alias("n"), F.count_if(F.col("pairs") == 0).cast("int").alias("gone"), F.bit_or(bit).alias("bits"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("pairs") > 0, F.struct("pairs", "w")))), lambda x: x["w"]).alias("r"), F.collect_list(F.when(F.col("pairs") == 0, F.col("w"))).alias("lone"),
     )
-    tokens = F.split("text", " ")
-    inner = F.transform(F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))), lambda w: F.xxhash64(w))
-    rows = of.join(texts.select("id", "in_q", "in_c", inner.alias("inner")), "id")
+    rows = of.join(texts, "id").withColumn("inner", _inner(F.col("text")))
     rarest = F.get(F.filter("r", lambda w: F.array_contains("inner", w)), F.lit(0))
     short = (F.size("inner") < 2) | (rarest.isNull() & ~F.arrays_overlap("inner", "lone"))
-    at = F.when(~short & ~F.arrays_overlap("inner", "lone"), F.least(F.array_position("inner", rarest).cast("int"), F.size("inner") - 1))
-    return rows.select("id", "in_q", "in_c", "n", "gone", "bits", "r", "inner", short.alias("short"), at.alias("at"))
+    at = F.when(~short & ~F.arrays_overlap("inner", "lone"), F.array_position("inner", rarest).cast("int"))
+    return stored(rows.select("id", "text", "in_q", "in_c", "n", "gone", "bits", "r", short.alias("short"), at.alias("at")), pairs, texts)
+
+
+def _inner(text: Column) -> Column:
+    """Hashes of the words within a title's ends, in their order."""
+    tokens = F.split(text, " ")
+    return F.transform(F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))), lambda w: F.xxhash64(w))
 
 
 def _sets(rows: DataFrame, size: int, kind: int) -> DataFrame:
@@ -67,72 +72,133 @@ def _sets(rows: DataFrame, size: int, kind: int) -> DataFrame:
     return out.select(F.xxhash64(F.lit(kind), *of, *[f"_w{i}" for i in range(1, size + 1)]).alias("s"), *keep)
 
 
+def _must(share: float) -> Column:
+    """Words that a title shares at least with another one that has that share of all their words in common."""
+    return F.greatest(F.ceil(F.lit(share) * F.col("n") - 1e-9), F.lit(1))
+
+
+def _rarest(shared: Column, k: int) -> Column:
+    """The rarest words of a title, of which any that shares so many has k."""
+    return F.slice("r", 1, F.greatest(F.least(F.col("n") - shared + k, F.col("n")) - F.col("gone"), F.lit(0)).cast("int"))
+
+
 def _signatures(ranked: DataFrame, need: float, wide: float, side: int) -> DataFrame:
     """s, id, n, bits, near: what a title of one side meets those of the other side by.
 
-    Two titles that must share two words or more have two of their rarest in common, so they meet on pairs of words; only where one
-    word may do for both they meet on single words.
-    A title within another one has all of its inner words there, in their order, and meets it on one pair of neighbours; one
+    Two titles that must share so many words have as many of their rarest in common, so they meet on sets of ``SET`` words; only where fewer
+    may do for both they meet on smaller sets, and long titles on single words.
+    A title within another one has all of its inner words there, in their order, and meets it on one run of ``RUN`` of them, or all if it has fewer; one
     without a word to do so is short, as is what holds it, and they meet on words. A title that is held meets only those that may hold it (d: which side's is held).
     """
-    must = lambda share: F.greatest(F.ceil(F.lit(share) * F.col("n") - 1e-9), F.lit(1))
-    rarest = lambda shared, k: F.slice("r", 1, F.greatest(F.least(F.col("n") - shared + k, F.col("n")) - F.col("gone"), F.lit(0)).cast("int"))
-    at_least = lambda share, k: F.greatest(must(share), F.lit(k))
+    at_least = lambda share, k: F.greatest(_must(share), F.lit(k))
     own = ("id", "n", "bits")
-    near = [_sets(ranked.where(must(need) < 2).select(*own, F.col("r").alias("p")), 1, 1)]
-    near += [_sets(ranked.select(*own, rarest(at_least(need, 2), 2).alias("p")), 2, 2)]
+    near = [_sets(ranked.where((_must(need) <= k) & (F.col("n") >= k)).select(*own, _rarest(at_least(need, k), k).alias("p")), k, k) for k in range(1, SET)]
+    near += [_sets(ranked.where(F.col("n").between(SET, LONG)).select(*own, _rarest(at_least(need, SET), SET).alias("p")), SET, SET)]
+    near += [_sets(ranked.where(F.col("n") > need * LONG - 1e-9).select(*own, _rarest(_must(need), 1).alias("p")), 1, 9)]
     role = lambda held, holds: F.explode(F.array_compact(F.array(F.when(held, side), F.when(holds, 1 - side)))).alias("d")
     words = ranked.where(F.col("short") | (wide * F.col("n") <= 3 + 1e-9)).select("*", role(F.col("short"), wide * F.col("n") <= 3 + 1e-9))
-    held = [_sets(words.select(*own, "d", rarest(at_least(wide, 2), 2).alias("p")), 2, 5), _sets(words.where(must(wide) < 2).select(*own, "d", F.col("r").alias("p")), 1, 6)]
-    within = ranked.where("NOT short").select(*own, "inner", "at", F.posexplode("inner").alias("i", "w")).where(F.col("i") < F.size("inner") - 1)
-    each = within.select(*own, "w", F.get("inner", F.col("i") + 1).alias("v"), role(F.col("i") + 1 == F.col("at"), F.lit(True)))
-    held += [each.select(F.xxhash64(F.lit(7), "d", "w", "v").alias("s"), *own)]
+    held = [_sets(words.select(*own, "d", _rarest(at_least(wide, 2), 2).alias("p")), 2, 15), _sets(words.where(_must(wide) < 2).select(*own, "d", F.col("r").alias("p")), 1, 16)]
+    within = ranked.select(*own, "short", "at", _inner(F.col("text")).alias("inner")).where(F.size("inner") >= 2)
+    for k in range(2, RUN + 1):
+        run = lambda d, k=k: F.transform("inner", lambda _, i: F.xxhash64(F.lit(20 + k), F.lit(d), *[F.get("inner", i + j) for j in range(k)]))
+        last = F.size("inner") - k + 1
+        mine = F.when(F.col("at").isNotNull() & ~F.col("short") & ((last >= 1) if k == RUN else (last == 1)), F.array(F.get(run(side), F.least(F.col("at"), last) - 1)))
+        theirs = F.when((last >= 1) & (F.lit(k == RUN) | (wide * F.col("n") <= k + 2 + 1e-9)), F.array_distinct(F.slice(run(1 - side), 1, F.greatest(last, F.lit(0)))))
+        no = F.array().cast("array<bigint>")
+        held += [within.where(last >= 1).select(F.explode(F.concat(F.coalesce(mine, no), F.coalesce(theirs, no))).alias("s"), *own)]
     parts = [df.select("s", *own, F.lit(True).alias("near")) for df in near] + [df.select("s", *own, F.lit(False).alias("near")) for df in held]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _meet(ranked: DataFrame, need: float, wide: float) -> DataFrame:
-    """q, c: numbers of titles of the two sides that may be similar enough. Bits of one title only bound from below what the titles differ by."""
-    side = lambda k, name, of: _signatures(ranked.where(of), need, wide, k).select("s", *[F.col(x).alias(f"{name}_{x}") for x in ("id", "n", "bits", "near")])
-    both = F.col("q_n") + F.col("c_n")
-    differ = F.bit_count(F.col("q_bits").bitwiseXOR(F.col("c_bits")))
-    share = F.when(F.col("q_near"), need).otherwise(wide)
-    like = (differ <= both * F.when(F.col("q_near"), (1 - need) / (1 + need)).otherwise((1 - wide) / (1 + wide)) + 1e-9) & (F.least("q_n", "c_n") >= share * F.greatest("q_n", "c_n") - 1e-9)
-    met = side(0, "q", "in_q").join(side(1, "c", "in_c"), "s").where(like & (F.col("q_id") != F.col("c_id")))
-    return met.select(F.col("q_id").alias("q"), F.col("c_id").alias("c")).distinct().unionByName(ranked.where("in_q AND in_c").select(F.col("id").alias("q"), F.col("id").alias("c")))
+def _like(need: float, wide: float) -> tuple[Column, Column]:
+    """Whether titles may have the share ``need`` of their words in common, and whether one may hold the other and they the share ``wide``.
+
+    Bits only bound from below what the titles differ by; of a title that is held, only the words at its ends may be missing in the other.
+    """
+    both, q, c = F.col("q_n") + F.col("c_n"), F.col("q_bits"), F.col("c_bits")
+    differ = F.bit_count(q.bitwiseXOR(c))
+    of = lambda share: (differ <= both * ((1 - share) / (1 + share)) + 1e-9) & (F.least("q_n", "c_n") >= share * F.greatest("q_n", "c_n") - 1e-9)
+    return of(need), of(wide) & (F.least(F.bit_count(q.bitwiseAND(F.bitwise_not(c))), F.bit_count(c.bitwiseAND(F.bitwise_not(q)))) <= 2)
+
+
+def _met(q: DataFrame, c: DataFrame, like: Column) -> DataFrame:
+    """q, c: numbers of different titles of the two sides that have a signature in common and are alike; each pair once."""
+    named = lambda df, side: df.select("s", *[F.col(x).alias(f"{side}_{x}") for x in df.columns if x != "s"])
+    met = named(q, "q").join(named(c, "c"), "s").where(like & (F.col("q_id") != F.col("c_id")))
+    return met.select(F.col("q_id").alias("q"), F.col("c_id").alias("c")).distinct()
+
+
+def _by_title(ranked: DataFrame, need: float, wide: float) -> DataFrame:
+    """q, c: titles so similar by themselves that any shared word of names may do."""
+    near, held = _like(need, wide)
+    return _met(_signatures(ranked.where("in_q"), need, wide, 0), _signatures(ranked.where("in_c"), need, wide, 1), F.when(F.col("q_near"), near & F.col("c_near")).otherwise(held & ~F.col("c_near")))
+
+
+def _name_signatures(rows: DataFrame, side: int) -> DataFrame:
+    """s, id, n, bits: what the names beside a title meet those of the other side by, to be more similar than ``ONE_WORD``.
+
+    They share two words; or one of them is a single word (by which side's it is), and the other has two at most.
+    """
+    pairs = lambda w: F.flatten(F.transform(w, lambda x: F.transform(F.filter(w, lambda y: y > x), lambda y: F.xxhash64(F.lit(2), x, y))))
+    alone = lambda w, d: F.transform(w, lambda x: F.xxhash64(F.lit(1), F.lit(d), x))
+    no = F.array().cast("array<bigint>")
+    each = F.transform("names", lambda x: F.concat(pairs(x["w"]), F.when(F.size(x["w"]) == 1, alone(x["w"], side)).otherwise(no), F.when(F.size(x["w"]) <= 2, alone(x["w"], 1 - side)).otherwise(no)))
+    return rows.select(F.explode(F.array_distinct(F.flatten(each))).alias("s"), "id", "n", "bits")
+
+
+def _by_names(ranked: DataFrame, q: DataFrame, c: DataFrame, need: float, wide: float) -> DataFrame:
+    """q, c: titles that may be similar enough beside names that are more similar than ``ONE_WORD``. Frequent names meet with one of the rarest words of the title."""
+    sides = [_name_signatures(q, 0), _name_signatures(c, 1)]
+    both = reduce(DataFrame.unionByName, [df.select("s", F.lit(k).alias("k")) for k, df in enumerate(sides)])
+    hot = stored(both.groupBy("s").agg((F.count_if(F.col("k") == 0).cast("double") * F.count_if(F.col("k") == 1)).alias("pairs")).where(F.col("pairs") > HOT).select("s"))
+    words = ranked.select("id", F.explode(_rarest(_must(wide), 1)).alias("w"))
+    split = [
+        df.join(F.broadcast(hot), "s", "left_anti").unionByName(df.join(F.broadcast(hot), "s", "left_semi").join(words, "id").select(F.xxhash64(F.lit(3), "s", "w").alias("s"), "id", "n", "bits"))
+        for df in sides
+    ]
+    near, held = _like(need, wide)
+    return stored(_met(*split, near | held), hot)
 
 
 def best_match(queries: DataFrame, candidates: DataFrame, gate: float = 0.7, inclusive: bool = False, boost: bool = False, title: str = "title") -> DataFrame:
     """qid, cid, score: each query's best candidate by title and authors, ties to the first candidate by ``pos``.
 
     queries: qid, title, authors (joined by " and " or NULL); candidates: cid, pos, title, authors (array), score (NULL).
-    The gate bounds the Jaccard similarity that a pair must have, less where one title holds the other, and prefix
-    filtering on the rarest words finds every such pair without comparing all; nothing is capped. Titles are compared once
-    for all rows that have them, and their words are ranked once and written.
+    The gate bounds the similarity that titles must have, and more where names are less alike: names of one common word leave only titles that are
+    close to equal, which meet by their rarest words; others meet by what their names share. Every pair that can pass is found without comparing all;
+    nothing is capped. Rows of equal title and authors are one, titles are compared once for all rows that have them, and words are ranked once.
     """
-    need = max((gate - 0.3 - (0.1 if boost else 0.0)) / 0.7, 0.01)
+    most = 0.1 if boost else 0.0
+    need = max((gate - 0.3 - most) / 0.7, 0.01)
     wide = max(need - 0.2, 0.01)  # a title that holds the other has a bonus
+    alone = max((gate - 0.3 * ONE_WORD - most) / 0.7 - 1e-8, need)
     lower = F.lower(search_title(F.col(title)))
-    q = queries.select("qid", lower.alias("text"), F.col("authors").alias("_qa"), _hashes(F.col("authors")).alias("_qw")).where(F.size(word_set(F.col("text"))) > 0)
-    c = candidates.select("cid", "pos", lower.alias("text"), F.col("authors").alias("_ca"), F.col("score").alias("_s")).where(F.size(word_set(F.col("text"))) > 0)
-    texts = stored(_texts(q, c))
-    ranked = stored(_ranked(texts))
-    named = lambda name, k: texts.select(F.col("id").alias(name), F.col("text").alias(k))
-    met = _meet(ranked, need, wide).join(named("q", "_t"), "q").join(named("c", "_u"), "c")
+    worded = F.size(word_set(F.col("text"))) > 0
+    q = stored(queries.select("qid", lower.alias("text"), F.col("authors").alias("_qa")).where(worded).groupBy("text", "_qa").agg(F.collect_list("qid").alias("qids")))
+    c = stored(candidates.select("cid", "pos", lower.alias("text"), F.col("authors").alias("_ca"), F.col("score").alias("_s")).where(worded).groupBy("text", "_ca", "_s").agg(F.max(F.struct((-F.col("pos")).alias("p"), "cid")).alias("_c")))
+    each = q.select("text", F.lit(True).alias("in_q")).unionByName(c.select("text", F.lit(False).alias("in_q")))
+    texts = each.groupBy("text").agg(F.max("in_q").alias("in_q"), (~F.min("in_q")).alias("in_c")).withColumn("id", F.monotonically_increasing_id())
+    ranked = _ranked(stored(texts))
+    at = ranked.select("text", "id", "n", "bits")
+    q = stored(q.join(at, "text").select("id", "n", "bits", "qids", named(listed(F.col("_qa"))).alias("names"), F.monotonically_increasing_id().alias("g")), q)
+    c = stored(c.join(at, "text").select("id", "n", "bits", "_c", "_s", named(F.col("_ca")).alias("names")), c)
+    met = _by_names(ranked, q, c, need, wide)
+    if alone <= 1:
+        met = met.unionByName(stored(_by_title(ranked, alone, max(alone - 0.2, 0.01)))).distinct()
+    text = lambda k, name: ranked.select(F.col("id").alias(k), F.col("text").alias(name))
     # titles decide first; authors are compared only where they can still lift a pair over the gate
-    most = 0.3 + (0.1 if boost else 0.0) + 1e-9
-    titled = met.select("_t", "_u", text_similarity(F.col("_t"), F.col("_u")).alias("_ts")).where(0.7 * F.col("_ts") + most > gate)
-    first = c.groupBy("text", "_ca", "_s").agg(F.max(F.struct((-F.col("pos")).alias("p"), "cid")).alias("_c")).withColumn("_cw", _hashes(F.array_join("_ca", " ")))
+    titled = met.join(text("q", "_t"), "q").join(text("c", "_u"), "c").select("q", "c", text_similarity(F.col("_t"), F.col("_u")).alias("_ts")).where(0.7 * F.col("_ts") + 0.3 + most + 1e-9 > gate)
+    titled = titled.unionByName(ranked.where("in_q AND in_c").select(F.col("id").alias("q"), F.col("id").alias("c"), F.lit(1.0).alias("_ts")))
     extra = F.least(F.coalesce("_s", F.lit(0.0)) / 100, F.lit(0.1)) if boost else F.lit(0.0)
-    joined = titled.join(first.withColumnRenamed("text", "_u"), "_u").join(q.withColumnRenamed("text", "_t"), "_t").withColumn("_x", extra)
+    joined = titled.join(c.select(F.col("id").alias("c"), "_c", extra.alias("_x"), F.col("names").alias("_cn")), "c").join(q.select(F.col("id").alias("q"), "g", "qids", F.col("names").alias("_qn")), "q")
     # names that share no word are similar to 0.2 at most, where one holds the other
-    names = F.when(F.arrays_overlap("_qw", "_cw"), 0.3).otherwise(0.06)
+    names = F.when(F.arrays_overlap(F.flatten("_qn.w"), F.flatten("_cn.w")), 0.3).otherwise(0.06)
     near = joined.where(0.7 * F.col("_ts") + names + F.col("_x") + 1e-9 > gate)
-    score = 0.7 * F.col("_ts") + 0.3 * author_similarity(F.col("_qa"), F.col("_ca")) + F.col("_x")
-    scored = near.select("qid", "_c", F.round(score, 9).alias("score"))
+    score = 0.7 * F.col("_ts") + 0.3 * names_similarity(F.col("_qn"), F.col("_cn")) + F.col("_x")
+    scored = near.select("g", "qids", "_c", F.round(score, 9).alias("score"))
     scored = scored.where(F.col("score") >= gate if inclusive else F.col("score") > gate)
-    top = scored.groupBy("qid").agg(F.max(F.struct("score", "_c")).alias("m"))
-    return top.select("qid", F.col("m._c.cid").alias("cid"), F.col("m.score").alias("score"))
+    top = scored.groupBy("g").agg(F.max(F.struct("score", "_c")).alias("m"), F.any_value("qids").alias("qids"))
+    return top.select(F.explode("qids").alias("qid"), F.col("m._c.cid").alias("cid"), F.col("m.score").alias("score"))
 
 
 def first_provider(results: list[tuple[str, DataFrame]], key: str = "key") -> DataFrame:
