@@ -5,25 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, present, strip
+from .text import present
 
 #: Words without weight in comparisons. Fixed values.
 STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by")
 
 
+#: White space (``SPACE``) by character: a plain space is split at without compiling a pattern for each text.
+SPACES = "\t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def word_set(c: Column) -> Column:
     """Distinct words of a text in lower case, without stop words."""
-    words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), rf"{SPACE}+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+    words = F.filter(F.split(F.translate(F.lower(F.coalesce(c, F.lit(""))), SPACES, " " * len(SPACES)), " "), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
     return F.array_distinct(words)
 
 
-def set_similarity(a: Column, b: Column, wa: Column, wb: Column) -> Column:
-    """Jaccard of two word sets, a bonus where one text holds the other, at most 1; 0 without words."""
+def similarity(a: Column, b: Column, wa: Column, wb: Column) -> Column:
+    """Jaccard of two word sets that are not empty, a bonus where one text in lower case holds the other, at most 1."""
     shared = F.size(F.array_intersect(wa, wb))
-    union = F.size(wa) + F.size(wb) - shared
-    bonus = F.when(F.lower(a).contains(F.lower(b)) | F.lower(b).contains(F.lower(a)), 0.2).otherwise(0.0)
+    bonus = F.when(a.contains(b) | b.contains(a), 0.2).otherwise(0.0)
+    return F.least(F.try_divide(shared, F.size(wa) + F.size(wb) - shared) + bonus, F.lit(1.0))
+
+
+def set_similarity(a: Column, b: Column, wa: Column, wb: Column) -> Column:
+    """The similarity of two texts with these words; 0 without words."""
     empty = (F.size(wa) == 0) | (F.size(wb) == 0)
-    return F.when(empty | ~present(a) | ~present(b), 0.0).otherwise(F.least(F.try_divide(shared, union) + bonus, F.lit(1.0)))
+    return F.when(empty | ~present(a) | ~present(b), 0.0).otherwise(similarity(F.lower(a), F.lower(b), wa, wb))
 
 
 def text_similarity(a: Column, b: Column) -> Column:
@@ -33,7 +41,7 @@ def text_similarity(a: Column, b: Column) -> Column:
 
 def listed(query: Column) -> Column:
     """The names of a list joined by "and"."""
-    return F.transform(F.split(F.coalesce(query, F.lit("")), " and "), strip)
+    return F.transform(F.split(F.coalesce(query, F.lit("")), " and "), lambda a: F.btrim(a, F.lit(SPACES + " ")))
 
 
 def named(names: Column) -> Column:
@@ -44,8 +52,9 @@ def named(names: Column) -> Column:
 
 def names_similarity(query: Column, names: Column) -> Column:
     """The best similarity between two names of such arrays; 0 if either has none."""
-    each = F.flatten(F.transform(query, lambda q: F.transform(names, lambda p: set_similarity(q["a"], p["a"], q["w"], p["w"]))))
-    return F.coalesce(F.array_max(each), F.lit(0.0))
+    each = F.flatten(F.transform(query, lambda q: F.transform(names, lambda p: similarity(q["a"], p["a"], q["w"], p["w"]))))
+    same = F.arrays_overlap(query["a"], names["a"])  # needs no comparison of words
+    return F.when(same, 1.0).otherwise(F.coalesce(F.array_max(each), F.lit(0.0)))
 
 
 def author_similarity(query: Column, authors: Column) -> Column:

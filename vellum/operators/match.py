@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.similarity import listed, named, names_similarity, text_similarity, word_set
+from vellum.functions.similarity import listed, named, names_similarity, similarity, word_set
 from vellum.functions.text import search_title
 from vellum.session import stored
 
@@ -35,23 +35,23 @@ def _hashes(c: Column) -> Column:
 
 
 def _ranked(texts: DataFrame) -> DataFrame:
-    """id, text, in_q, in_c, n, gone, bits, r, short, at: hashes of the words of each title that both sides have, r, by how many pairs share them.
+    """id, text, in_q, in_c, words, n, gone, bits, r, short, at: hashes of the words of each title, those that both sides have, r, by how many pairs share them.
 
     n counts all words, gone those of one side only, which stand before all others in the order; bits has a bit for each word. at is the place of the rarest
     word within the title's ends, and short are titles without a word there; at is missing where the other side lacks a word that is within.
     """
-    words = lambda t: t.select("id", "in_q", "in_c", F.explode(_hashes(F.col("text"))).alias("w"))
+    words = lambda t: t.select("id", "in_q", "in_c", F.explode("words").alias("w"))
     pairs = stored(words(texts).groupBy("w").agg((F.count_if("in_q").cast("double") * F.count_if("in_c")).alias("pairs")))
     bit = F.expr("shiftleft(1L, CAST(pmod(w, 64) AS int))")
-    of = words(texts.repartition("id")).select("id", "w").join(F.broadcast(pairs) if pairs.count() <= SENT else pairs, "w").groupBy("id").agg(
+    of = words(texts).select("id", "w").join(F.broadcast(pairs) if pairs.count() <= SENT else pairs, "w").groupBy("id").agg(
         F.count("*").cast("int").alias("n"), F.count_if(F.col("pairs") == 0).cast("int").alias("gone"), F.bit_or(bit).alias("bits"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("pairs") > 0, F.struct("pairs", "w")))), lambda x: x["w"]).alias("r"), F.collect_list(F.when(F.col("pairs") == 0, F.col("w"))).alias("lone"),
     )
     rows = of.join(texts, "id").withColumn("inner", _inner(F.col("text")))
-    rarest = F.get(F.filter("r", lambda w: F.array_contains("inner", w)), F.lit(0))
-    short = (F.size("inner") < 2) | (rarest.isNull() & ~F.arrays_overlap("inner", "lone"))
-    at = F.when(~short & ~F.arrays_overlap("inner", "lone"), F.array_position("inner", rarest).cast("int"))
-    return stored(rows.select("id", "text", "in_q", "in_c", "n", "gone", "bits", "r", short.alias("short"), at.alias("at")), pairs, texts)
+    rows = rows.withColumns({"rarest": F.get(F.array_intersect("r", "inner"), F.lit(0)), "lacks": F.arrays_overlap("inner", "lone")})
+    short = (F.size("inner") < 2) | (F.col("rarest").isNull() & ~F.col("lacks"))
+    at = F.when(~short & ~F.col("lacks"), F.array_position("inner", F.col("rarest")).cast("int"))
+    return stored(rows.select("id", "text", "in_q", "in_c", "words", "n", "gone", "bits", "r", short.alias("short"), at.alias("at")), pairs, texts)
 
 
 def _inner(text: Column) -> Column:
@@ -98,14 +98,14 @@ def _signatures(ranked: DataFrame, need: float, wide: float, side: int) -> DataF
     role = lambda held, holds: F.explode(F.array_compact(F.array(F.when(held, side), F.when(holds, 1 - side)))).alias("d")
     words = ranked.where(F.col("short") | (wide * F.col("n") <= 3 + 1e-9)).select("*", role(F.col("short"), wide * F.col("n") <= 3 + 1e-9))
     held = [_sets(words.select(*own, "d", _rarest(at_least(wide, 2), 2).alias("p")), 2, 15), _sets(words.where(_must(wide) < 2).select(*own, "d", F.col("r").alias("p")), 1, 16)]
-    within = ranked.select(*own, "short", "at", _inner(F.col("text")).alias("inner")).where(F.size("inner") >= 2)
+    run = lambda k, d, i: F.xxhash64(F.lit(20 + k), F.lit(d), *[F.get("inner", i + j) for j in range(k)])
+    no = F.array().cast("array<bigint>")
     for k in range(2, RUN + 1):
-        run = lambda d, k=k: F.transform("inner", lambda _, i: F.xxhash64(F.lit(20 + k), F.lit(d), *[F.get("inner", i + j) for j in range(k)]))
-        last = F.size("inner") - k + 1
-        mine = F.when(F.col("at").isNotNull() & ~F.col("short") & ((last >= 1) if k == RUN else (last == 1)), F.array(F.get(run(side), F.least(F.col("at"), last) - 1)))
-        theirs = F.when((last >= 1) & (F.lit(k == RUN) | (wide * F.col("n") <= k + 2 + 1e-9)), F.array_distinct(F.slice(run(1 - side), 1, F.greatest(last, F.lit(0)))))
-        no = F.array().cast("array<bigint>")
-        held += [within.where(last >= 1).select(F.explode(F.concat(F.coalesce(mine, no), F.coalesce(theirs, no))).alias("s"), *own)]
+        some = ranked if k == RUN else ranked.where(F.col("n") <= (k + 2) / wide + 1e-9)
+        within = some.select(*own, "short", "at", _inner(F.col("text")).alias("inner")).withColumn("last", F.size("inner") - k + 1).where(F.col("last") >= 1)
+        mine = F.when(F.col("at").isNotNull() & ~F.col("short") & (F.lit(k == RUN) | (F.col("last") == 1)), F.array(run(k, side, F.least("at", "last") - 1)))
+        theirs = F.transform(F.slice("inner", 1, F.col("last")), lambda _, i: run(k, 1 - side, i))  # noqa: B023
+        held += [within.select(F.explode(F.concat(F.coalesce(mine, no), theirs)).alias("s"), *own)]
     parts = [df.select("s", *own, F.lit(True).alias("near")) for df in near] + [df.select("s", *own, F.lit(False).alias("near")) for df in held]
     return reduce(DataFrame.unionByName, parts)
 
@@ -134,30 +134,27 @@ def _by_title(ranked: DataFrame, need: float, wide: float) -> DataFrame:
     return _met(_signatures(ranked.where("in_q"), need, wide, 0), _signatures(ranked.where("in_c"), need, wide, 1), F.when(F.col("q_near"), near & F.col("c_near")).otherwise(held & ~F.col("c_near")))
 
 
-def _name_signatures(rows: DataFrame, side: int) -> DataFrame:
-    """s, id, n, bits: what the names beside a title meet those of the other side by, to be more similar than ``ONE_WORD``.
+def _name_signatures(names: Column, side: int) -> Column:
+    """What names meet those of the other side by, to be more similar than ``ONE_WORD``.
 
     They share two words; or one of them is a single word (by which side's it is), and the other has two at most.
     """
     pairs = lambda w: F.flatten(F.transform(w, lambda x: F.transform(F.filter(w, lambda y: y > x), lambda y: F.xxhash64(F.lit(2), x, y))))
     alone = lambda w, d: F.transform(w, lambda x: F.xxhash64(F.lit(1), F.lit(d), x))
-    no = F.array().cast("array<bigint>")
-    each = F.transform("names", lambda x: F.concat(pairs(x["w"]), F.when(F.size(x["w"]) == 1, alone(x["w"], side)).otherwise(no), F.when(F.size(x["w"]) <= 2, alone(x["w"], 1 - side)).otherwise(no)))
-    return rows.select(F.explode(F.array_distinct(F.flatten(each))).alias("s"), "id", "n", "bits")
+    each = lambda w: F.when(F.size(w) == 1, F.concat(alone(w, side), alone(w, 1 - side))).when(F.size(w) == 2, F.concat(pairs(w), alone(w, 1 - side))).otherwise(pairs(w))
+    return F.array_distinct(F.flatten(F.transform(names, lambda x: each(x["w"]))))
 
 
-def _by_names(ranked: DataFrame, q: DataFrame, c: DataFrame, need: float, wide: float) -> DataFrame:
+def _by_names(q: DataFrame, c: DataFrame, need: float, wide: float) -> DataFrame:
     """q, c: titles that may be similar enough beside names that are more similar than ``ONE_WORD``. Frequent names meet with one of the rarest words of the title."""
-    sides = [_name_signatures(q, 0), _name_signatures(c, 1)]
-    both = reduce(DataFrame.unionByName, [df.select("s", F.lit(k).alias("k")) for k, df in enumerate(sides)])
-    hot = stored(both.groupBy("s").agg((F.count_if(F.col("k") == 0).cast("double") * F.count_if(F.col("k") == 1)).alias("pairs")).where(F.col("pairs") > HOT).select("s"))
-    words = ranked.select("id", F.explode(_rarest(_must(wide), 1)).alias("w"))
-    split = [
-        df.join(F.broadcast(hot), "s", "left_anti").unionByName(df.join(F.broadcast(hot), "s", "left_semi").join(words, "id").select(F.xxhash64(F.lit(3), "s", "w").alias("s"), "id", "n", "bits"))
-        for df in sides
-    ]
+    both = reduce(DataFrame.unionByName, [df.select(F.explode("by").alias("s"), F.lit(k).alias("k")) for k, df in enumerate((q, c))])
+    hot = stored(both.groupBy("s").agg((F.count_if(F.col("k") == 0).cast("double") * F.count_if(F.col("k") == 1)).alias("pairs")).where(F.col("pairs") > HOT).select("s", F.lit(True).alias("hot")))
+    sides = []
+    for df in (q, c):
+        rows = df.select(F.explode("by").alias("s"), "id", "n", "bits", "rare").join(F.broadcast(hot), "s", "left")
+        sides.append(rows.select(F.explode(F.when(F.col("hot"), F.transform("rare", lambda w: F.xxhash64(F.lit(3), F.col("s"), w))).otherwise(F.array("s"))).alias("s"), "id", "n", "bits"))
     near, held = _like(need, wide)
-    return stored(_met(*split, near | held), hot)
+    return stored(_met(*sides, near | held), hot)
 
 
 def best_match(queries: DataFrame, candidates: DataFrame, gate: float = 0.7, inclusive: bool = False, boost: bool = False, title: str = "title") -> DataFrame:
@@ -173,22 +170,23 @@ def best_match(queries: DataFrame, candidates: DataFrame, gate: float = 0.7, inc
     wide = max(need - 0.2, 0.01)  # a title that holds the other has a bonus
     alone = max((gate - 0.3 * ONE_WORD - most) / 0.7 - 1e-8, need)
     lower = F.lower(search_title(F.col(title)))
-    worded = F.size(word_set(F.col("text"))) > 0
-    q = stored(queries.select("qid", lower.alias("text"), F.col("authors").alias("_qa")).where(worded).groupBy("text", "_qa").agg(F.collect_list("qid").alias("qids")))
-    c = stored(candidates.select("cid", "pos", lower.alias("text"), F.col("authors").alias("_ca"), F.col("score").alias("_s")).where(worded).groupBy("text", "_ca", "_s").agg(F.max(F.struct((-F.col("pos")).alias("p"), "cid")).alias("_c")))
+    q = stored(queries.select("qid", lower.alias("text"), F.col("authors").alias("_qa")).groupBy("text", "_qa").agg(F.collect_list("qid").alias("qids")))
+    c = stored(candidates.select("cid", "pos", lower.alias("text"), F.col("authors").alias("_ca"), F.col("score").alias("_s")).groupBy("text", "_ca", "_s").agg(F.max(F.struct((-F.col("pos")).alias("p"), "cid")).alias("_c")))
     each = q.select("text", F.lit(True).alias("in_q")).unionByName(c.select("text", F.lit(False).alias("in_q")))
-    texts = each.groupBy("text").agg(F.max("in_q").alias("in_q"), (~F.min("in_q")).alias("in_c")).withColumn("id", F.monotonically_increasing_id())
+    texts = each.groupBy("text").agg(F.max("in_q").alias("in_q"), (~F.min("in_q")).alias("in_c")).withColumns({"id": F.monotonically_increasing_id(), "words": _hashes(F.col("text"))})
     ranked = _ranked(stored(texts))
-    at = ranked.select("text", "id", "n", "bits")
-    q = stored(q.join(at, "text").select("id", "n", "bits", "qids", named(listed(F.col("_qa"))).alias("names"), F.monotonically_increasing_id().alias("g")), q)
-    c = stored(c.join(at, "text").select("id", "n", "bits", "_c", "_s", named(F.col("_ca")).alias("names")), c)
-    met = _by_names(ranked, q, c, need, wide)
-    if alone <= 1:
-        met = met.unionByName(stored(_by_title(ranked, alone, max(alone - 0.2, 0.01)))).distinct()
-    text = lambda k, name: ranked.select(F.col("id").alias(k), F.col("text").alias(name))
+    found = [stored(_by_title(ranked, alone, max(alone - 0.2, 0.01)))] if alone <= 1 else []
+    at = ranked.select("text", "id", "n", "bits", _rarest(_must(wide), 1).alias("rare"))
+    rows = lambda df, k, names, *own: stored(df.join(at, "text").withColumn("names", named(names)).select("id", "n", "bits", "rare", "names", _name_signatures(F.col("names"), k).alias("by"), *own), df)
+    q = rows(q, 0, listed(F.col("_qa")), "qids", F.monotonically_increasing_id().alias("g"))
+    c = rows(c, 1, F.col("_ca"), "_c", "_s")
+    found.append(_by_names(q, c, need, wide))
+    met = reduce(DataFrame.unionByName, found).distinct()
+    text = lambda k: ranked.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text"), F.col("words").alias(f"{k}_words"))
     # titles decide first; authors are compared only where they can still lift a pair over the gate
-    titled = met.join(text("q", "_t"), "q").join(text("c", "_u"), "c").select("q", "c", text_similarity(F.col("_t"), F.col("_u")).alias("_ts")).where(0.7 * F.col("_ts") + 0.3 + most + 1e-9 > gate)
-    titled = titled.unionByName(ranked.where("in_q AND in_c").select(F.col("id").alias("q"), F.col("id").alias("c"), F.lit(1.0).alias("_ts")))
+    titled = met.join(text("q"), "q").join(text("c"), "c").select("q", "c", similarity(*map(F.col, ("q_text", "c_text", "q_words", "c_words"))).alias("_ts")).where(0.7 * F.col("_ts") + 0.3 + most + 1e-9 > gate)
+    same = ranked.where("in_q AND in_c").select(F.col("id").alias("q"), F.col("id").alias("c"), F.lit(1.0).alias("_ts"))
+    titled = stored(titled.unionByName(same), ranked, *found)
     extra = F.least(F.coalesce("_s", F.lit(0.0)) / 100, F.lit(0.1)) if boost else F.lit(0.0)
     joined = titled.join(c.select(F.col("id").alias("c"), "_c", extra.alias("_x"), F.col("names").alias("_cn")), "c").join(q.select(F.col("id").alias("q"), "g", "qids", F.col("names").alias("_qn")), "q")
     # names that share no word are similar to 0.2 at most, where one holds the other
